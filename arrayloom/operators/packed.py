@@ -89,38 +89,27 @@ def infer_delimiters(df: DataFrame, field: str, source: list[str], numbers: int
         .withColumn("layout", layout(F.col("packed")))
     )
 
-    def scored(split) -> Column:
-        pieces = split(F.col("packed"))
-        kinds = F.transform(pieces, lambda p: F.size(F.regexp_extract_all(p, F.lit(_NUMBER), F.lit(0))))
-        regular = F.size(F.filter(kinds, lambda k: (k == numbers) | (k == 0)))
-        return F.struct(
-            (regular == F.size(kinds)).cast("long").alias("whole"),
-            regular.cast("long").alias("regular"),
-            F.size(kinds).cast("long").alias("pieces"),
-        )
-
-    each = shapes.select(
-        *source, "layout", "rows", *[scored(split).alias(f"c{i}") for i, (_, split) in enumerate(CANDIDATES)]
+    tried = F.array(
+        *[F.struct(F.lit(i).alias("delimiter"), split(F.col("packed")).alias("pieces")) for i, (_, split) in enumerate(CANDIDATES)]
     )
-    sums = each.groupBy(*source, "layout").agg(
-        F.sum("rows").alias("rows"),
-        *[
-            F.sum(F.col(f"c{i}.{part}") * F.col("rows")).alias(f"{part}{i}")
-            for i in range(len(CANDIDATES))
-            for part in ("whole", "regular", "pieces")
-        ],
+    kinds = (
+        shapes.select(*source, "layout", "rows", F.explode(tried).alias("c"))
+        .select(
+            *source, "layout", "rows", "c.delimiter",
+            F.transform("c.pieces", lambda p: F.size(F.regexp_extract_all(p, F.lit(_NUMBER), F.lit(0)))).alias("kinds"),
+        )
+        .select(
+            *source, "layout", "rows", "delimiter", F.size("kinds").alias("pieces"),
+            F.size(F.filter("kinds", lambda k: (k == numbers) | (k == 0))).alias("regular"),
+        )
     )
-    best = F.greatest(
-        *[
-            F.struct(
-                (F.col(f"whole{i}") / F.col("rows") * F.col(f"regular{i}") / F.col(f"pieces{i}")).alias("score"),
-                F.col(f"pieces{i}").alias("pieces"),
-                F.lit(-i).alias("order"),
-            )
-            for i in range(len(CANDIDATES))
-        ]
+    sums = kinds.groupBy(*source, "layout", "delimiter").agg(
+        (F.sum(F.when(F.col("regular") == F.col("pieces"), F.col("rows")).otherwise(0)) / F.sum("rows")).alias("whole"),
+        (F.sum(F.col("regular") * F.col("rows")) / F.sum(F.col("pieces") * F.col("rows"))).alias("regular"),
+        F.sum(F.col("pieces") * F.col("rows")).alias("pieces"),
     )
-    return sums.select(*source, "layout", (-best["order"]).alias("delimiter"))
+    best = F.max(F.struct((F.col("whole") * F.col("regular")).alias("score"), "pieces", (-F.col("delimiter")).alias("order")))
+    return sums.groupBy(*source, "layout").agg(best.alias("best")).select(*source, "layout", (-F.col("best.order")).alias("delimiter"))
 
 
 def split_packed(
