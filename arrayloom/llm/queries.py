@@ -11,6 +11,7 @@ from arrayloom.llm.components import groups
 from arrayloom.llm.leakage import leaks
 from arrayloom.llm.quantiles import merge_sketches, quantiles, sketches
 from arrayloom.llm.spectral import most_typical, similarity_clusters
+from arrayloom.llm.stuffing import stuffed_pages
 from arrayloom.sources.tables import table
 
 
@@ -70,6 +71,10 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "item_id")
 
 
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return stuffed_pages(table(spark, folder, "documents"), "doc_id").select("doc_id")
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p3_found": p3_found,
@@ -79,6 +84,7 @@ QUERIES = {
     "p6_percentiles": p6_percentiles,
     "p7_ids": p7_ids,
     "p8_found": p8_found,
+    "p9_found": p9_found,
 }
 
 _CLUSTERS = """
