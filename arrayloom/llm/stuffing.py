@@ -20,6 +20,8 @@ HEAD_WORDS = 64
 #: A language with less than this share of all pages is put together with other rare ones.
 LEAST_LANGUAGE = 0.01
 LEAST_WORDS = 20
+#: Lengths with fewer pages of a language are held against all of the language.
+LEAST_PAGES = 50
 NEIGHBOURS = 4
 AGAINST_PROSE = -0.3
 _LINK, _NUMBER, _UNSPACED = "xlinkx", "xnumberx", "xunspacedx"
@@ -74,6 +76,16 @@ def _heads(counts: DataFrame, salts: int = 16) -> DataFrame:
     return top.select("lang", "word", F.lit(True).alias("head"))
 
 
+def _usual(pages: DataFrame, by: list[str], prefix: str) -> DataFrame:
+    """What pages of a kind are like: the median head share, the quartiles of slope and residual."""
+    quartiles = F.array(F.lit(0.25), F.lit(0.75))
+    return pages.groupBy(*by).agg(
+        F.count("*").alias(f"{prefix}pages"),
+        F.percentile_approx("p", F.lit(0.5), F.lit(1000)).alias(f"{prefix}p_mid"),
+        *[F.percentile_approx(c, quartiles, F.lit(1000)).alias(f"{prefix}{c}_q") for c in ("slope", "residual")],
+    )
+
+
 def page_features(df: DataFrame, key: str, text: str = "text", lang: str = "lang") -> tuple[DataFrame, DataFrame]:
     """(counts, pages): word counts per page, and per page its curve, its divergence and what is usual for
     its language and length. A page is a key with the hash of its text."""
@@ -90,12 +102,15 @@ def page_features(df: DataFrame, key: str, text: str = "text", lang: str = "lang
     counts = write_through(counts)
     marked = counts.join(F.broadcast(_heads(counts)), ["lang", "word"], "left").withColumn("head", F.coalesce("head", F.lit(False)))
     pages = _ranked(marked).withColumn("bin", F.floor(F.log2("words"))).withColumn("p", F.col("head") / F.col("words"))
-    usual = pages.groupBy("lang", "bin").agg(
-        *[F.percentile_approx(c, F.lit(0.5), F.lit(1000)).alias(f"{c}_mid") for c in ("p", "slope", "residual")],
-        *[F.percentile_approx(c, F.array(F.lit(0.25), F.lit(0.75)), F.lit(1000)).alias(f"{c}_q") for c in ("slope", "residual")],
-    )
-    # one row for each of at most 677 codes and 64 lengths
-    pages = write_through(pages.join(F.broadcast(usual), ["lang", "bin"]))
+    # at most one row for each of 677 codes and 64 lengths, and one more for each code
+    fine, coarse = _usual(pages, ["lang", "bin"], ""), _usual(pages, ["lang"], "lang_")
+    pages = pages.join(F.broadcast(fine), ["lang", "bin"]).join(F.broadcast(coarse), "lang")
+    few = F.col("pages") < LEAST_PAGES
+    pages = pages.withColumns(
+        {c: F.when(few, F.col(f"lang_{c}")).otherwise(F.col(c)) for c in ("slope_q", "residual_q")}
+        | {"p_mid": F.when(few, F.col("lang_p_mid")).otherwise(F.greatest("p_mid", 0.8 * F.col("lang_p_mid")))}
+    )
+    pages = write_through(pages.select("page", "lang", "words", "distinct", "slope", "residual", "p", "p_mid", "slope_q", "residual_q"))
     return counts, pages
 
 
