@@ -165,3 +165,39 @@ def neighbourhood_energy(df: DataFrame, half_rows: int, half_cols: int, half_fra
         F.sum("e").alias("energy"), F.count("*").alias("_k")
     )
     return sums.filter(F.col("_k") == (2 * half_rows + 1) * (2 * half_cols + 1)).drop("_k")
+
+
+def lowpass(times: int, half: int = 10, beta: float = 5.0) -> list[float]:
+    """Interpolation filter for up-sampling: a windowed sinc of 2 * half * times + 1 taps (Kaiser window)."""
+    import numpy as np
+
+    at = np.arange(-half * times, half * times + 1)
+    taps = np.sinc(at / times) * np.kaiser(len(at), beta)
+    return (taps * times / taps.sum()).tolist()
+
+
+def upsample(df: DataFrame, by: list[str], times: int, value: str = "v", half: int = 10, chunk: int = CHUNK) -> DataFrame:
+    """(by, frame, v) at `times` the rate: frame f stands at (f - 1) * times + 1 and keeps its value up to the gain
+    of the filter; frames between are interpolated. Beyond the ends the trace counts as 0."""
+    taps = lowpass(times, half)
+    line = _line(by)
+    near = with_halo(df.select(*by, "frame", F.col(value).alias("v")), "frame", half, half, chunk)
+    around = {k: F.coalesce(F.lag("v", -k).over(line), F.lit(0.0)) for k in range(-half, half + 1)}
+    near = near.withColumns({f"_n{k + half}": c for k, c in around.items()})
+    phases = [
+        F.struct(F.lit(r).alias("r"), sum((F.col(f"_n{k + half}") * taps[r - k * times + half * times] for k in around if 0 <= r - k * times + half * times < len(taps)), F.lit(0.0)).alias("v"))
+        for r in range(times)
+    ]
+    each = _core(near).select(*by, "frame", F.explode(F.array(*phases)).alias("p"))
+    return each.select(*by, ((F.col("frame") - 1) * times + 1 + F.col("p.r")).alias("frame"), F.col("p.v").alias("v"))
+
+
+def whitening_weights(model: list[float], tolerance: float = 1e-9, most: int = 512) -> list[float]:
+    """Impulse response of z[t] = s[t] - sum(model[m] * z[t - m - 1]), cut where it stays below the tolerance; the
+    recursion thus becomes a causal filter, which chunks of a trace can run side by side."""
+    h = [1.0]
+    while len(h) < most and max(abs(x) for x in h[-len(model) - 1 :]) > tolerance:
+        h.append(-sum(a * h[-1 - m] for m, a in enumerate(model) if m < len(h)))
+    if len(h) == most:
+        raise ValueError("the recursion doesn't decay: its model isn't stable")
+    return h

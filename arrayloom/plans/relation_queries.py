@@ -174,9 +174,9 @@ def exact_coincidences(spark, folder):
 
 
 def event_coincidences(spark, folder):
-    """True spikes with exactly one event of their sensor within half a millisecond, and that event."""
+    """True spikes with exactly one event of their sensor within ten milliseconds, and that event."""
     spikes = table(spark, folder, "true_spikes").select("gt_id", F.col("sensor_row").alias("boss_row"), F.col("sensor_col").alias("boss_column"), F.col("time").alias("t")).filter("t IS NOT NULL AND NOT isnan(t)").distinct()
-    return J.coincidences(spikes, _once(spark, folder), ["boss_row", "boss_column"], "t", "time", 0.5, "gt_id").select("gt_id", "event_id")
+    return J.coincidences(spikes, _once(spark, folder), ["boss_row", "boss_column"], "t", "time", 10.0, "gt_id").select("gt_id", "event_id")
 
 
 def sensor_index(spark, folder):
@@ -293,8 +293,8 @@ SQL = {
     "coin_fraction": f"""WITH {_FRAC} SELECT a, b, count(*) AS n, round(count(*) / any_value(p.n), 6) AS frac_a, round(count(*) / any_value(q.n), 6) AS frac_b
         FROM M JOIN N p ON p.unit_id = a JOIN N q ON q.unit_id = b GROUP BY a, b""",
     "event_coincidences": f"""WITH {_ONCE}, G AS (SELECT DISTINCT gt_id, sensor_row, sensor_col, time AS t FROM true_spikes WHERE time IS NOT NULL AND NOT isnan(time))
-        SELECT gt_id, min(event_id) AS event_id FROM G JOIN B ON boss_row = sensor_row AND boss_column = sensor_col AND B.time BETWEEN t - 1 AND t + 1
-        WHERE abs(t - B.time) <= 0.5 GROUP BY gt_id HAVING count(*) = 1""",
+        SELECT gt_id, min(event_id) AS event_id FROM G JOIN B ON boss_row = sensor_row AND boss_column = sensor_col AND B.time BETWEEN t - 11 AND t + 11
+        WHERE abs(t - B.time) <= 10 GROUP BY gt_id HAVING count(*) = 1""",
     "redundant_units": f"""WITH RECURSIVE {_U}, {_components("SELECT unit_a AS a, unit_b AS b FROM unit_pairs WHERE least(coin_ab, coin_ba) >= 0.5 AND sim >= 0.5 AND NOT isnan(sim)")},
         Z AS (SELECT unit_id, component, separability, count(*) OVER w AS n, max(CASE WHEN NOT isnan(separability) THEN separability END) OVER w AS m FROM CC JOIN U USING (unit_id) WINDOW w AS (PARTITION BY component))
         SELECT unit_id, component, n = 1 OR coalesce(separability = m, false) AS keep FROM Z""",
