@@ -25,6 +25,7 @@ LEAST_PAGES = 50
 NEIGHBOURS = 4
 AGAINST_PROSE = -0.3
 _LINK, _NUMBER, _UNSPACED = "xlinkx", "xnumberx", "xunspacedx"
+_NO_SPACES = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}]"
 #: Cyrillic letters and the Latin ones they are mistaken for.
 LOOKALIKES = ("аеорсухіјѕ", "aeopcyxijs")
 
@@ -36,27 +37,37 @@ def language(lang: Column) -> Column:
 
 
 def page_words(text: Column) -> Column:
-    """The words of a page in order: a link is one word, markup none; case and lookalikes are folded."""
-    text = F.regexp_replace(text, r"(?i)<a\s[^<>]*>|\[url=[^\[\]]*\]", f" {_LINK} ")
+    """The words of a page in order: a link is one word, markup none; case and lookalikes are folded, numbers are
+    one word, and so are runs of scripts without spaces."""
+    text = F.regexp_replace(F.lower(text), r"<a\s[^<>]*>|\[url=[^\[\]]*\]", f" {_LINK} ")
     text = F.regexp_replace(text, r"<[^<>\n]*>|\[[^\[\]\n]*\]", " ")
-    text = F.regexp_replace(text, r"(?i)(?:https?://|www\.)\S+", f" {_LINK} ")
-    text = F.regexp_replace(text, r"(?i)&(?:[a-z]+|#[0-9]+);", " ")
-    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-
-
-def _folded(word: Column) -> Column:
-    return (
-        F.when(word.rlike(r"^\p{N}+$"), _NUMBER)
-        .when(word.rlike(r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}]"), _UNSPACED)
-        .when(word.rlike("[a-z]"), F.translate(word, *LOOKALIKES))
-        .otherwise(word)
-    )
-
-
-def _ranked(counts: DataFrame) -> DataFrame:
-    """Per page: words, distinct words, slope and residual of the rank-frequency line."""
-    order = Window.partitionBy("page").orderBy(F.desc("n"), "word")
-    lines = counts.withColumn("y", F.ln("n")).withColumn("x", F.ln(F.row_number().over(order)))
+    text = F.regexp_replace(text, r"(?:https?://|www\.)\S+", f" {_LINK} ")
+    text = F.regexp_replace(text, r"&(?:[a-z]+|#[0-9]+);", " ")
+    text = F.regexp_replace(text, rf"[\p{{L}}\p{{N}}]*{_NO_SPACES}[\p{{L}}\p{{N}}]*", _UNSPACED)
+    text = F.regexp_replace(text, r"(?<![\p{L}\p{N}])\p{N}+(?![\p{L}\p{N}])", _NUMBER)
+    return F.regexp_extract_all(F.translate(text, *LOOKALIKES), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+
+
+def _words(df: DataFrame, key: str, text: str, lang: str) -> DataFrame:
+    """(page, key, lang, words): one row per page with its words in order; rare languages are put together."""
+    rows = df.select(F.col(key).alias("key"), language(F.col(lang)).alias("lang"), F.col(text).cast("string").alias("text"))
+    rows = rows.filter("key IS NOT NULL AND text IS NOT NULL")
+    shares = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    total = F.sum("n").over(Window.partitionBy(F.lit(0)))  # one row per language code
+    large = shares.withColumn("share", F.col("n") / total).filter(F.col("share") >= LEAST_LANGUAGE).select("lang", F.lit(True).alias("own"))
+    rows = rows.join(F.broadcast(large), "lang", "left")
+    lang = F.when(F.col("own"), F.col("lang")).otherwise("xx")
+    return write_through(rows.select(F.monotonically_increasing_id().alias("page"), "key", lang.alias("lang"), page_words(F.col("text")).alias("words")))
+
+
+def _curves(words: DataFrame, heads: DataFrame) -> DataFrame:
+    """Per page: words, distinct words, head words, slope and residual of the rank-frequency line. Pages are
+    shuffled once, as arrays; counting, ranking and fitting stay where a page's words are."""
+    tokens = words.select("page", "lang", "words").repartition("page").select("page", "lang", F.explode("words").alias("word"))
+    counts = tokens.groupBy("page", "lang", "word").agg(F.count("*").alias("n"))
+    marked = counts.join(F.broadcast(heads), ["lang", "word"], "left")
+    order = Window.partitionBy("page").orderBy(F.desc("n"))
+    lines = marked.withColumn("y", F.ln("n")).withColumn("x", F.ln(F.row_number().over(order)))
     return lines.groupBy("page").agg(
         F.first("lang").alias("lang"), F.sum("n").alias("words"), F.count("*").alias("distinct"),
         F.sum(F.when(F.col("head"), F.col("n")).otherwise(0)).alias("head"),
@@ -65,9 +76,10 @@ def _ranked(counts: DataFrame) -> DataFrame:
     )
 
 
-def _heads(counts: DataFrame, salts: int = 16) -> DataFrame:
+def _heads(words: DataFrame, salts: int = 16) -> DataFrame:
     """The words of most pages of each language: at most HEAD_WORDS for each of at most 677 codes."""
-    pages = counts.filter(~F.col("word").isin(_LINK, _NUMBER)).groupBy("lang", "word").agg(F.count("*").alias("pages"))
+    each = words.select("lang", F.explode(F.array_distinct("words")).alias("word"))
+    pages = each.filter(~F.col("word").isin(_LINK, _NUMBER)).groupBy("lang", "word").agg(F.count("*").alias("pages"))
     best = [F.desc("pages"), F.asc("word")]
     part = Window.partitionBy("lang", "salt").orderBy(*best)
     some = pages.withColumn("salt", F.pmod(F.hash("word"), F.lit(salts))).withColumn("r", F.row_number().over(part))
@@ -87,21 +99,11 @@ def _usual(pages: DataFrame, by: list[str], prefix: str) -> DataFrame:
 
 
 def page_features(df: DataFrame, key: str, text: str = "text", lang: str = "lang") -> tuple[DataFrame, DataFrame]:
-    """(counts, pages): word counts per page, and per page its curve, its divergence and what is usual for
-    its language and length. A page is a key with the hash of its text."""
-    rows = df.select(
-        F.struct(F.col(key).alias("key"), F.xxhash64(text).alias("text")).alias("page"),
-        language(F.col(lang)).alias("lang"), F.col(text).cast("string").alias("text"),
-    ).filter("page.key IS NOT NULL AND text IS NOT NULL")
-    shares = rows.groupBy("lang").count()
-    total = F.sum("count").over(Window.partitionBy(F.lit(0)))  # one row per language code
-    large = shares.withColumn("share", F.col("count") / total).filter(F.col("share") >= LEAST_LANGUAGE).select("lang", F.lit(True).alias("own"))
-    rows = rows.join(F.broadcast(large), "lang", "left").withColumn("lang", F.when(F.col("own"), F.col("lang")).otherwise("xx"))
-    words = rows.select("page", "lang", F.explode(page_words(F.col("text"))).alias("word"))
-    counts = words.groupBy("page", "lang", _folded(F.col("word")).alias("word")).agg(F.count("*").alias("n"))
-    counts = write_through(counts)
-    marked = counts.join(F.broadcast(_heads(counts)), ["lang", "word"], "left").withColumn("head", F.coalesce("head", F.lit(False)))
-    pages = _ranked(marked).withColumn("bin", F.floor(F.log2("words"))).withColumn("p", F.col("head") / F.col("words"))
+    """(words, pages): the words of each page, and per page its curve, its divergence and what is usual for
+    its language and length. A page is a row of the table."""
+    words = _words(df, key, text, lang)
+    pages = _curves(words, _heads(words)).withColumn("bin", F.floor(F.log2("words"))).withColumn("p", F.col("head") / F.col("words"))
+    pages = write_through(pages)
     # at most one row for each of 677 codes and 64 lengths, and one more for each code
     fine, coarse = _usual(pages, ["lang", "bin"], ""), _usual(pages, ["lang"], "lang_")
     pages = pages.join(F.broadcast(fine), ["lang", "bin"]).join(F.broadcast(coarse), "lang")
@@ -111,7 +113,7 @@ def page_features(df: DataFrame, key: str, text: str = "text", lang: str = "lang
         | {"p_mid": F.when(few, F.col("lang_p_mid")).otherwise(F.greatest("p_mid", 0.8 * F.col("lang_p_mid")))}
     )
     pages = write_through(pages.select("page", "lang", "words", "distinct", "slope", "residual", "p", "p_mid", "slope_q", "residual_q"))
-    return counts, pages
+    return words, pages
 
 
 def _divergence() -> Column:
@@ -133,11 +135,11 @@ def stuffed_pages(
 
     `flag_divergence` (nats) and `flag_spread` (interquartile ranges beyond the quartiles) set what is
     extreme for the first stage; both are wide, so the exact check decides. Null keys and null texts take
-    no part; texts without words are never found; repeated rows give one row; a key with several texts is
-    found if one of them is (with the largest share). Null or unknown languages form one of their own.
+    no part; texts without words are never found; repeated rows are pages of their own and give one row; a key
+    with several texts is found if one of them is (with the largest share). Null or unknown languages form one of their own.
     Other columns are ignored.
     """
-    counts, pages = page_features(df, key, text, lang)
+    words, pages = page_features(df, key, text, lang)
     pages = pages.withColumn("divergence", _divergence())
     flagged = (F.col("divergence") >= flag_divergence) | _outside("slope", flag_spread) | _outside("residual", flag_spread)
     flagged = write_through(pages.filter(flagged).select("page", "slope", "residual", "divergence"))
@@ -146,24 +148,19 @@ def stuffed_pages(
     classed = pages.filter(enough & ((F.col("p") < 0.35 * F.col("p_mid")) | (F.col("p") > 0.7 * F.col("p_mid"))))
     classed = classed.select("page", (F.col("p") > 0.5 * F.col("p_mid")).cast("long").alias("prose"))
     total = classed.agg(F.coalesce(F.sum("prose"), F.lit(0)).alias("prose"), F.count("*").alias("n")).first()  # two numbers
-    seen = counts.join(classed, "page").groupBy("word").agg(F.sum("prose").alias("a"), F.sum(1 - F.col("prose")).alias("b"))
+    seen = words.join(classed, "page").select("prose", F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.sum("prose").alias("a"), F.sum(1 - F.col("prose")).alias("b"))
     odds = F.ln((F.col("a") + 0.5) / (total["prose"] + 1)) - F.ln((F.col("b") + 0.5) / (total["n"] - total["prose"] + 1))
     odds = seen.select("word", odds.alias("odds")).filter(F.col("word") != _NUMBER)
     odds = odds.select("word", F.greatest(F.lit(-4.0), F.least(F.lit(4.0), "odds")).alias("odds"))
     odds = write_through(odds.withColumn("odds", F.when(F.col("word") == _LINK, F.least("odds", F.lit(0.0))).otherwise(F.col("odds"))))
 
-    rows = df.select(F.struct(F.col(key).alias("key"), F.xxhash64(text).alias("text")).alias("page"), F.col(text).cast("string").alias("text"))
-    tokens = (
-        rows.filter("page.key IS NOT NULL AND text IS NOT NULL").join(flagged, "page")
-        .select("page", "slope", "residual", "divergence", F.posexplode(page_words(F.col("text"))).alias("at", "word"))
-        .withColumn("word", _folded(F.col("word")))
-    )
+    tokens = words.join(flagged, "page").select("page", "key", "slope", "residual", "divergence", F.posexplode("words").alias("at", "word"))
     near = Window.partitionBy("page").orderBy("at").rowsBetween(-NEIGHBOURS, NEIGHBOURS)
     against = (F.avg("odds").over(near) < AGAINST_PROSE) | (F.col("word") == _LINK)
     judged = tokens.join(odds, "word", "left").withColumn("odds", F.coalesce("odds", F.lit(0.0))).withColumn("against", against)
     shares = judged.groupBy("page").agg(
         F.avg(F.col("against").cast("double")).alias("share"),
-        *[F.first(c).alias(c) for c in ("slope", "residual", "divergence")],
+        *[F.first(c).alias(c) for c in ("key", "slope", "residual", "divergence")],
     )
-    found = shares.filter("share > 0.5").groupBy("page.key").agg(F.max_by(F.struct("share", "slope", "residual", "divergence"), "share").alias("b"))
+    found = shares.filter("share > 0.5").groupBy("key").agg(F.max_by(F.struct("share", "slope", "residual", "divergence"), "share").alias("b"))
     return found.select(F.col("key").alias(key), "b.*")
