@@ -14,9 +14,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arrayloom.session import write_through
+from arrayloom.session import tree_fan, write_through
 
-_SUMS = "n bigint, s array<double>, g array<double>"
+_SUMS = "_n bigint, _s array<double>, _g array<double>"
 
 
 def frames_of(df: DataFrame, by: list[str], channel: str, value: str = "v") -> DataFrame:
@@ -28,10 +28,10 @@ def frames_of(df: DataFrame, by: list[str], channel: str, value: str = "v") -> D
 
 
 def _sums(total: dict, by: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
-    """Rows (by, n, s, g) of partial sums."""
+    """Rows (by, _n, _s, _g) of partial sums."""
     columns = [pa.array(c, t) for c, t in zip(zip(*total), types)] + [pa.array([v[0] for v in total.values()], pa.int64())]
     columns += [pa.array([v[i].tolist() for v in total.values()], pa.list_(pa.float64())) for i in (1, 2)]
-    return pa.RecordBatch.from_arrays(columns, names=[*by, "n", "s", "g"])
+    return pa.RecordBatch.from_arrays(columns, names=[*by, "_n", "_s", "_g"])
 
 
 def _by_group(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[tuple[tuple, np.ndarray, list]]:
@@ -51,20 +51,20 @@ def _schema(df: DataFrame, by: list[str]) -> str:
 
 
 def _add_up(df: DataFrame, by: list[str], kinds: str) -> DataFrame:
-    """Sum the partial arrays of each group: first within 32 groups of tasks, then overall."""
+    """Sum the partial arrays of each group: first within groups of tasks, then overall."""
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = {c: [pdf[c].iloc[0]] for c in pdf.columns if c in by or c == "part"}
-        out |= {"n": [pdf["n"].sum()], "s": [np.sum(np.stack(pdf["s"]), axis=0)], "g": [np.sum(np.stack(pdf["g"]), axis=0)]}
+        out = {c: [pdf[c].iloc[0]] for c in pdf.columns if c in by or c == "_part"}
+        out |= {"_n": [pdf["_n"].sum()], "_s": [np.sum(np.stack(pdf["_s"]), axis=0)], "_g": [np.sum(np.stack(pdf["_g"]), axis=0)]}
         return pd.DataFrame(out)[list(pdf.columns)]
 
-    parts = df.withColumn("part", F.pmod(F.spark_partition_id(), F.lit(32)))
-    some = parts.groupBy(*by, "part").applyInPandas(add, parts.schema)
-    return some.drop("part").groupBy(*by).applyInPandas(add, f"{kinds}, {_SUMS}")
+    parts = df.withColumn("_part", F.pmod(F.spark_partition_id(), F.lit(tree_fan(df.sparkSession))))
+    some = parts.groupBy(*by, "_part").applyInPandas(add, parts.schema)
+    return some.drop("_part").groupBy(*by).applyInPandas(add, f"{kinds}, {_SUMS}")
 
 
 def gramians(df: DataFrame, by: list[str]) -> DataFrame:
-    """(by, n, s, g): number of frames, sum of x and sum of the outer products of x, flattened."""
+    """(by, _n, _s, _g): number of frames, sum of x and sum of the outer products of x, flattened."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict = {}
@@ -81,10 +81,10 @@ def gramians(df: DataFrame, by: list[str]) -> DataFrame:
 
 def covariances(df: DataFrame, by: list[str]) -> DataFrame:
     """(by, i, j, c): population covariance of each pair of positions, i <= j, counting from 0."""
-    g = gramians(df, by).withColumn("p", F.size("s"))
-    each = g.select(*by, "n", "s", "p", F.posexplode("g").alias("at", "v"))
-    i, j = F.floor(F.col("at") / F.col("p")).cast("int"), (F.col("at") % F.col("p")).cast("int")
-    c = F.col("v") / F.col("n") - F.get("s", F.col("i")) / F.col("n") * F.get("s", F.col("j")) / F.col("n")
+    g = gramians(df, by).withColumn("_p", F.size("_s"))
+    each = g.select(*by, "_n", "_s", "_p", F.posexplode("_g").alias("_at", "_v"))
+    i, j = F.floor(F.col("_at") / F.col("_p")).cast("int"), (F.col("_at") % F.col("_p")).cast("int")
+    c = F.col("_v") / F.col("_n") - F.get("_s", F.col("i")) / F.col("_n") * F.get("_s", F.col("j")) / F.col("_n")
     return each.withColumn("i", i).withColumn("j", j).filter("i <= j").select(*by, "i", "j", c.alias("c"))
 
 
@@ -95,9 +95,9 @@ def principal_axes(df: DataFrame, by: list[str]) -> DataFrame:
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         r = pdf.iloc[0]
-        p, n = len(r["s"]), r["n"]
-        mean = np.array(r["s"]) / n
-        values, vectors = np.linalg.eigh(np.array(r["g"]).reshape(p, p) / n - np.outer(mean, mean))
+        p, n = len(r["_s"]), r["_n"]
+        mean = np.array(r["_s"]) / n
+        values, vectors = np.linalg.eigh(np.array(r["_g"]).reshape(p, p) / n - np.outer(mean, mean))
         values, vectors = np.maximum(values[::-1], 0), vectors[:, ::-1].T
         sign = np.sign(vectors[np.arange(p), np.abs(vectors).argmax(axis=1)])
         return pd.DataFrame({**{c: [r[c]] * p for c in by}, "i": np.arange(p), "variance": values, "axis": list(vectors * sign[:, None])})
@@ -109,7 +109,7 @@ def whiten(df: DataFrame, by: list[str], components: int) -> DataFrame:
     """Frames centred and projected onto the first principal axes, each with variance 1 (axes without variance give 0)."""
     axes = principal_axes(df, by).filter(F.col("i") < components)
     basis = axes.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", F.when(F.col("variance") > 1e-12, 1 / F.sqrt("variance")).otherwise(0.0).alias("w"), "axis"))), lambda s: F.transform(s["axis"], lambda a: a * s["w"])).alias("m"))
-    mean = gramians(df, by).select(*by, F.transform("s", lambda v: v / F.col("n")).alias("mean"))
+    mean = gramians(df, by).select(*by, F.transform("_s", lambda v: v / F.col("_n")).alias("mean"))
     return _project(df, write_through(basis.join(mean, by)), by)
 
 
@@ -150,8 +150,8 @@ def fast_ica(df: DataFrame, by: list[str], components: int, rounds: int = 30, to
 
     def turn(pdf: pd.DataFrame) -> pd.DataFrame:
         r = pdf.iloc[0]
-        old = np.array(r["s"]).reshape(components, components) / r["n"]
-        new = np.array(r["g"]).reshape(components, components) / r["n"] - 3 * old
+        old = np.array(r["_s"]).reshape(components, components) / r["_n"]
+        new = np.array(r["_g"]).reshape(components, components) / r["_n"] - 3 * old
         u, _, v = np.linalg.svd(new)
         new = u @ v
         change = float(np.max(1 - np.abs(np.sum(new * old, axis=1))))
@@ -175,8 +175,8 @@ def optimal_filters(df: DataFrame, by: list[str], templates: DataFrame) -> DataF
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         r = pdf.iloc[0]
-        p = len(r["s"])
-        inverse = np.linalg.pinv(np.array(r["g"]).reshape(p, p) / r["n"], hermitian=True)
+        p = len(r["_s"])
+        inverse = np.linalg.pinv(np.array(r["_g"]).reshape(p, p) / r["_n"], hermitian=True)
         t = np.stack(pdf["t"])
         f = t @ inverse
         f /= np.sum(f * t, axis=1)[:, None]

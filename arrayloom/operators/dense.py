@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from arrayloom.session import tree_fan
+
 _ARRAYS = "block int, part int, keys array<bigint>, ids array<bigint>, values array<double>"
 
 
@@ -114,7 +116,7 @@ def _merge_top(k: int, final: bool) -> Callable:
 
 
 def top_per_key(
-    df: DataFrame, keys: tuple[str, str], id_col: str, value: Column, k: int = 3, blocks: int = 64, fan: int = 32
+    df: DataFrame, keys: tuple[str, str], id_col: str, value: Column, k: int = 3, blocks: int = 64, fan: int | None = None
 ) -> DataFrame:
     """(keys, id_col, value): of each pair of 32-bit keys the k rows of largest `value` (a column), ties to the
     smaller id.
@@ -128,7 +130,7 @@ def top_per_key(
         F.col(a).cast("int").alias("a"), F.col(b).cast("int").alias("b"), F.col(id_col).cast("long").alias("i"),
         value.cast("double").alias("v"),
     ).filter("a IS NOT NULL AND b IS NOT NULL AND i IS NOT NULL AND v IS NOT NULL AND NOT isnan(v) AND abs(v) < double('Infinity')")
-    parts = rows.mapInArrow(_split_top(k, blocks, fan), _ARRAYS)
+    parts = rows.mapInArrow(_split_top(k, blocks, fan or tree_fan(df.sparkSession)), _ARRAYS)
     merged = parts.groupBy("block", "part").applyInArrow(_merge_top(k, False), _ARRAYS)
     out = merged.groupBy("block").applyInArrow(_merge_top(k, True), "key bigint, id bigint, value double")
     return out.select(
@@ -178,7 +180,7 @@ def _merge_sum(final: bool) -> Callable:
     return run
 
 
-def totals_per_key(df: DataFrame, keys: tuple[str, str], value: Column, blocks: int = 64, fan: int = 32) -> DataFrame:
+def totals_per_key(df: DataFrame, keys: tuple[str, str], value: Column, blocks: int = 64, fan: int | None = None) -> DataFrame:
     """(keys, n, total): count and sum of `value` (a column) of each pair of 32-bit keys, by dense arrays.
 
     Rows with a null key or a null or NaN value take no part; repeated rows count each time (deduplicate
@@ -188,7 +190,7 @@ def totals_per_key(df: DataFrame, keys: tuple[str, str], value: Column, blocks:
     rows = df.select(
         F.col(a).cast("int").alias("a"), F.col(b).cast("int").alias("b"), value.cast("double").alias("v")
     ).filter("a IS NOT NULL AND b IS NOT NULL AND v IS NOT NULL AND NOT isnan(v)")
-    parts = rows.mapInArrow(_split_sum(blocks, fan), _ARRAYS)
+    parts = rows.mapInArrow(_split_sum(blocks, fan or tree_fan(df.sparkSession)), _ARRAYS)
     merged = parts.groupBy("block", "part").applyInArrow(_merge_sum(False), _ARRAYS)
     out = merged.groupBy("block").applyInArrow(_merge_sum(True), "key bigint, n bigint, total double")
     return out.select(F.shiftright("key", 32).cast("int").alias(a), _low("key").alias(b), "n", "total")

@@ -30,7 +30,7 @@ def isolation(df: DataFrame, by: list[str], value: str, side: str) -> DataFrame:
 
     Both densities are Gaussian kernel estimates (Silverman's bandwidth) on one grid of GRID cells, 10 % of the
     range wider on both sides; with d and e their Kullback-Leibler divergences in bits, the isolation is
-    d * e / (d + e), and 0 for equal densities. NaN with fewer than 2 values on a side.
+    d * e / (d + e), and 0 for equal densities. Null with fewer than 2 values on a side.
     """
     kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in by)
     counted = _cells(df, by, value, GRID, 0.1).groupBy(*by, "cell").agg(

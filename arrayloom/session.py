@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import math
 import tempfile
 import uuid
 
@@ -41,6 +42,12 @@ def shared_folder(spark: SparkSession) -> str:
     return _own_roots[app]
 
 
+def tree_fan(spark: SparkSession) -> int:
+    """Groups of tasks whose partial results are merged first: about the root of the number of tasks, so that neither
+    step of the merge meets more than about as many partial results."""
+    return max(32, 3 * math.isqrt(int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def reliable_checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage and keep partitions and their order as they are (needed where rows of a
     partition are addressed by its number). Eager; survives the loss of executors."""
