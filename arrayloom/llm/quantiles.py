@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from arrayloom.session import tree_fan
+
 BITS = 20
 EXACT_BITS = 11
 WIDTH = 512
@@ -193,7 +195,7 @@ def _combine(blocks: int) -> Callable:
 
 
 def sketches(
-    df: DataFrame, keys: tuple[str, str], value: Column, weight: Column | None = None, blocks: int = 64, fan: int = 32
+    df: DataFrame, keys: tuple[str, str], value: Column, weight: Column | None = None, blocks: int = 64, fan: int | None = None
 ) -> DataFrame:
     """One mergeable sketch per pair of 32-bit keys: the rows of `sketches` of several tables may be put
     together with unionByName and merged by `merge_sketches`.
@@ -206,7 +208,7 @@ def sketches(
         F.col(a).cast("int").alias("a"), F.col(b).cast("int").alias("b"), value.cast("double").alias("v"),
         (F.lit(1) if weight is None else weight).cast("int").alias("w"),
     ).filter("a IS NOT NULL AND b IS NOT NULL AND v IS NOT NULL AND NOT isnan(v) AND w IS NOT NULL")
-    return rows.mapInArrow(_build(blocks, fan, 500_000), _PART)
+    return rows.mapInArrow(_build(blocks, fan or tree_fan(df.sparkSession), 500_000), _PART)
 
 
 def merge_sketches(parts: DataFrame, blocks: int = 64) -> DataFrame:
