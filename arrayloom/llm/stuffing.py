@@ -25,7 +25,8 @@ LEAST_PAGES = 50
 NEIGHBOURS = 4
 AGAINST_PROSE = -0.3
 _LINK, _NUMBER, _UNSPACED = "xlinkx", "xnumberx", "xunspacedx"
-_NO_SPACES = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}]"
+#: Blocks of scripts written without spaces (Thai and Lao, Khmer, kana, Han).
+_NO_SPACES = r"[\u0e00-\u0eff\u1780-\u17ff\u3005-\u30ff\u31f0-\u31ff\u3400-\u9fff\uf900-\ufaff]+"
 #: Cyrillic letters and the Latin ones they are mistaken for.
 LOOKALIKES = ("аеорсухіјѕ", "aeopcyxijs")
 
@@ -43,7 +44,7 @@ def page_words(text: Column) -> Column:
     text = F.regexp_replace(text, r"<[^<>\n]*>|\[[^\[\]\n]*\]", " ")
     text = F.regexp_replace(text, r"(?:https?://|www\.)\S+", f" {_LINK} ")
     text = F.regexp_replace(text, r"&(?:[a-z]+|#[0-9]+);", " ")
-    text = F.regexp_replace(text, rf"[\p{{L}}\p{{N}}]*{_NO_SPACES}[\p{{L}}\p{{N}}]*", _UNSPACED)
+    text = F.regexp_replace(text, _NO_SPACES, f" {_UNSPACED} ")
     text = F.regexp_replace(text, r"(?<![\p{L}\p{N}])\p{N}+(?![\p{L}\p{N}])", _NUMBER)
     return F.regexp_extract_all(F.translate(text, *LOOKALIKES), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
