@@ -100,7 +100,7 @@ def _scan(tolerance: float) -> Callable:
             best_gap, best_key = np.where(take, gap, best_gap), np.where(take, r_key[place], best_key)
         hit = best_gap <= tolerance
         again = np.append(False, (l_key[1:] == l_key[:-1]) & (l_time[1:] == l_time[:-1]) & (l_code[1:] == l_code[:-1]))
-        hit &= again == False  # noqa: E712 - a repeated record counts once
+        hit &= ~again  # a repeated record counts once
         yield pa.RecordBatch.from_arrays([pa.array(l_key[hit]), pa.array(best_key[hit])], names=["left_id", "right_id"])
 
     return run

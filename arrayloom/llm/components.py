@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arrayloom.session import write_through
+from arrayloom.session import forget, write_through
 
 #: A round that removes less than this share of the edges ends the reduction.
 LEAST_PROGRESS = 0.05
@@ -43,14 +43,16 @@ def _strip(edges: DataFrame) -> DataFrame:
 
 def _rank_chains(chain: DataFrame) -> DataFrame:
     """(x, parent, hops): list ranking by pointer jumping along parent < x."""
-    ranked = write_through(chain.select("x", F.col("low").alias("parent"), F.lit(1).cast("bigint").alias("hops")))
+    last = ranked = write_through(chain.select("x", F.col("low").alias("parent"), F.lit(1).cast("bigint").alias("hops")))
     while True:
         nxt = ranked.select(F.col("x").alias("parent"), F.col("parent").alias("grand"), F.col("hops").alias("more"))
         jumped = write_through(ranked.join(nxt, "parent", "left"))
         moved = jumped.filter("grand IS NOT NULL")
         if moved.isEmpty():
+            forget(jumped)
             return ranked
-        ranked = jumped.select("x", F.coalesce("grand", "parent").alias("parent"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"))
+        forget(last)
+        last, ranked = jumped, jumped.select("x", F.coalesce("grand", "parent").alias("parent"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"))
 
 
 def _compress(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -81,6 +83,8 @@ def solve_core(edges: DataFrame) -> DataFrame:
         least = stars.groupBy("v").agg(F.min("u").alias("m"))
         small = stars.join(least, "v").select("m", F.explode(F.array("u", "v")).alias("b"))
         after = write_through(_pairs(small, "m", "b"))
+        forget(stars)
+        forget(state)
         # a star forest: every vertex hangs below one root that hangs below nothing
         tops = after.groupBy("v").agg(F.count("*").alias("n"))
         if tops.filter("n > 1").isEmpty() and after.join(after.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty():
@@ -108,14 +112,17 @@ def groups(vertices: DataFrame, vertex: str, links: DataFrame, a: str, b: str) -
     every = vertices.select(F.col(vertex).cast("bigint").alias("x")).filter("x IS NOT NULL")
     every = every.unionByName(edges.select(F.col("u").alias("x"))).unionByName(edges.select(F.col("v").alias("x"))).distinct()
     removed: list[DataFrame] = []
-    left = edges.count()
+    given, left = edges, edges.count()
     for _ in range(MAX_ROUNDS):
         if not left:
             break
         stripped = write_through(_strip(edges))
         rest = write_through(edges.join(stripped, ["u", "v"], "left_anti"))
         smaller, ranked = _compress(rest)
-        edges = write_through(smaller)
+        last, edges = edges, write_through(smaller)
+        if last is not given:  # every still reads the first ones
+            forget(last)
+        forget(rest)
         removed += [stripped.select("x", "parent"), ranked.select("x", "parent")]
         now = edges.count()
         left, before = now, left
@@ -123,7 +130,8 @@ def groups(vertices: DataFrame, vertex: str, links: DataFrame, a: str, b: str) -
             break
     labels = solve_core(edges) if left else spark.createDataFrame([], "x bigint, root bigint")
     for gone in reversed(removed):
-        labels = write_through(_restore(labels, gone))
+        last, labels = labels, write_through(_restore(labels, gone))
+        forget(last)
     smallest = labels.groupBy("root").agg(F.min("x").alias("group_id"))
     named = labels.join(smallest, "root").select("x", "group_id")
     return every.join(named, "x", "left").select(F.col("x").alias(vertex), F.coalesce("group_id", "x").alias("group_id"))
