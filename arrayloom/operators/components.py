@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arrayloom.session import write_through
+from arrayloom.session import forget, write_through
 
 
 def connected_components(edges: DataFrame, a: str, b: str, vertices: DataFrame | None = None, vertex: str | None = None) -> DataFrame:
@@ -14,7 +14,7 @@ def connected_components(edges: DataFrame, a: str, b: str, vertices: DataFrame |
     given in `vertices`, are their own component."""
     arcs = edges.select(F.col(a).cast("long").alias("x"), F.col(b).cast("long").alias("y")).filter("x <> y")
     arcs = write_through(arcs.unionByName(arcs.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct())
-    labels = write_through(arcs.groupBy("x").agg(F.least(F.first("x"), F.min("y")).alias("c")))
+    last = labels = write_through(arcs.groupBy("x").agg(F.least(F.first("x"), F.min("y")).alias("c")))
     while True:
         heard = arcs.join(labels.select(F.col("x").alias("y"), "c"), "y").groupBy("x").agg(F.min("c").alias("heard"))
         hooked = labels.join(heard, "x").select("x", "c", F.least("c", "heard").alias("d"))
@@ -22,7 +22,8 @@ def connected_components(edges: DataFrame, a: str, b: str, vertices: DataFrame |
         followed = hooked.join(best, "c").select("x", "c", F.least("d", "e").alias("d"))
         up = followed.select(F.col("x").alias("d"), F.col("d").alias("g"))
         jumped = write_through(followed.join(up, "d", "left").select("x", "c", F.least("d", F.coalesce("g", "d")).alias("d")))
-        labels = jumped.select("x", F.col("d").alias("c"))
+        forget(last)
+        last, labels = jumped, jumped.select("x", F.col("d").alias("c"))
         if jumped.filter("c <> d").isEmpty():
             break
     out = labels

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arrayloom.session import tree_fan, write_through
+from arrayloom.session import forget, tree_fan, write_through
 
 _SUMS = "_n bigint, _s array<double>, _g array<double>"
 
@@ -159,7 +159,8 @@ def fast_ica(df: DataFrame, by: list[str], components: int, rounds: int = 30, to
 
     for _ in range(rounds):
         sums = z.join(model.drop("change"), by).select(*by, "x", "w").mapInArrow(step, f"{kinds}, {_SUMS}")
-        model = write_through(_add_up(sums, by, kinds).groupBy(*by).applyInPandas(turn, f"{kinds}, w array<double>, change double"))
+        last, model = model, write_through(_add_up(sums, by, kinds).groupBy(*by).applyInPandas(turn, f"{kinds}, w array<double>, change double"))
+        forget(last)
         if model.filter(F.col("change") > tolerance).isEmpty():
             break
     rows = F.transform(F.sequence(F.lit(0), F.lit(components - 1)), lambda i: F.slice("w", i * components + 1, components))

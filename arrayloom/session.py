@@ -33,7 +33,7 @@ def local_session(cores: int = 8, memory: str = "8g", **conf: str) -> SparkSessi
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; a temporary one only where that setting is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if root:
         return root.rstrip("/")
     app = spark.sparkContext.applicationId
@@ -64,7 +64,18 @@ def write_through(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/arrayloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._arrayloom_path = path
+    return out
+
+
+def forget(written: DataFrame) -> None:
+    """Delete a table of write_through that nothing reads any more, such as the last round's in a loop."""
+    path = getattr(written, "_arrayloom_path", None)
+    entry = (written.sparkSession, path)
+    if entry in _written:
+        _written.remove(entry)
+        _delete(*entry)
 
 
 def drop_written(spark: SparkSession, keep: int = 0) -> None:
