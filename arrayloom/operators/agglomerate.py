@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from arrayloom.operators.components import connected_components
 from arrayloom.operators.joins import set_overlap
+from arrayloom.session import write_through
 
 
 def agglomerate(sets: DataFrame, key: str, member: str, least_overlap: float, most: int) -> DataFrame:
@@ -16,7 +17,8 @@ def agglomerate(sets: DataFrame, key: str, member: str, least_overlap: float, mo
     refused is the next seed. Sets start in the order of their keys, equal overlaps keep the order so far. The
     region is named by its first seed. Only sets linked by overlaps can meet, so each connected component of
     overlapping sets is one task; its size is bounded by the sensors of the array."""
-    clean = sets.select(F.col(key).cast("long").alias("k"), F.col(member).cast("long").alias("m")).filter("k IS NOT NULL AND m IS NOT NULL").distinct()
+    clean = sets.select(F.col(key).cast("long").alias("k"), F.col(member).cast("long").alias("m")).filter("k IS NOT NULL AND m IS NOT NULL")
+    clean = write_through(clean.distinct())
     parts = connected_components(set_overlap(clean, "k", "m"), "a", "b", clean, "k")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

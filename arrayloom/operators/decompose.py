@@ -220,3 +220,10 @@ def crosstalk(traces: DataFrame, pairs: DataFrame, order: int) -> DataFrame:
     fitted = lags.groupBy(*by, "frame").agg(F.sum("part").alias("e")).join(both.select(*by, "frame", "y"), [*by, "frame"])
     ratios = fitted.groupBy(*by).agg(F.try_divide(F.var_samp("e"), F.var_samp("y")).alias("r"))
     return ratios.groupBy("a", "b").agg(F.max("r").alias("ratio"))
+
+
+def filtered_sources(df: DataFrame, filters: DataFrame, by: list[str]) -> DataFrame:
+    """(by, unit, frame, v): each frame through each filter (by, unit, f) of its group, turned so that peaks point down."""
+    both = df.join(filters.select(*by, "unit", "f"), by)
+    dot = F.aggregate(F.zip_with("f", "x", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+    return both.select(*by, "unit", "frame", (-dot).alias("v"))

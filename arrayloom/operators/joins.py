@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from arrayloom.session import write_through
+
 
 def _near(cell: Column) -> Column:
     return F.explode(F.array(cell - 1, cell, cell + 1))
@@ -67,10 +69,14 @@ def pairs_within(points: DataFrame, key: str, x: str, y: str, distance: float) -
 
 def set_overlap(sets: DataFrame, key: str, member: str, others: DataFrame | None = None) -> DataFrame:
     """(a, b, common, overlap): members in common over the size of the smaller set, for pairs that share any; a < b
-    in one table, or a of `sets` and b of `others`. Repeated members count once."""
-    def clean(df):
-        return df.select(F.col(key).alias("k"), F.col(member).alias("m")).filter("k IS NOT NULL AND m IS NOT NULL").distinct()
-    left, right = clean(sets), clean(others if others is not None else sets)
+    in one table, or a of `sets` and b of `others`. Repeated members count once. The distinct members are written
+    once, as the join reads them several times."""
+
+    def clean(df: DataFrame) -> DataFrame:
+        return write_through(df.select(F.col(key).alias("k"), F.col(member).alias("m")).filter("k IS NOT NULL AND m IS NOT NULL").distinct())
+
+    left = clean(sets)
+    right = left if others is None else clean(others)
     a = left.join(left.groupBy("k").agg(F.count("*").alias("na")), "k").select(F.col("k").alias("a"), "m", "na")
     b = right.join(right.groupBy("k").agg(F.count("*").alias("nb")), "k").select(F.col("k").alias("b"), "m", "nb")
     pairs = a.join(b, "m")
@@ -87,3 +93,14 @@ def in_boxes(points: DataFrame, row: str, col: str, boxes: DataFrame, size: int
     own = points.withColumn("_tr", F.floor(F.col(row) / size)).withColumn("_tc", F.floor(F.col(col) / size))
     inside = F.col(row).between(F.col("r0"), F.col("r1")) & F.col(col).between(F.col("c0"), F.col("c1"))
     return own.join(tiles, ["_tr", "_tc"]).filter(inside).drop("_tr", "_tc")
+
+
+def equal_sets(sets: DataFrame, others: DataFrame, key: str, member: str) -> DataFrame:
+    """(a, b): sets of the two tables with the same distinct members. Sets are compared as sorted arrays, so one
+    set must fit a row."""
+
+    def packed(df: DataFrame, name: str) -> DataFrame:
+        known = df.filter(F.col(key).isNotNull() & F.col(member).isNotNull())
+        return known.groupBy(F.col(key).alias(name)).agg(F.array_sort(F.collect_set(member)).alias("_set"))
+
+    return packed(sets, "a").join(packed(others, "b"), "_set").select("a", "b")

@@ -43,12 +43,19 @@ def embedded_axes(spark, folder):
     return D.principal_axes(D.frames_of(stacked, BY, "lag"), BY).select("channel", "i", F.round("variance", 6).alias("variance"))
 
 
-def optimal_filters(spark, folder):
+def _filters(spark, folder):
     frames = _frames(spark, folder)
     each = frames.select("label", F.posexplode("x").alias("i", "v")).groupBy("label", "i").agg(F.avg("v").alias("v"))
     t = each.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("t"))
-    f = D.optimal_filters(frames, ["label"], t.withColumn("unit", F.col("label")))
-    return f.select("label", "unit", F.posexplode("f").alias("i", "weight"))
+    return D.optimal_filters(frames, ["label"], t.withColumn("unit", F.col("label")))
+
+
+def optimal_filters(spark, folder):
+    return _filters(spark, folder).select("label", "unit", F.posexplode("f").alias("i", "weight"))
+
+
+def filtered_sources(spark, folder):
+    return D.filtered_sources(_frames(spark, folder), _filters(spark, folder), ["label"])
 
 
 def channel_crosstalk(spark, folder):
@@ -102,6 +109,7 @@ QUERIES = {
     "independent_sources": independent_sources,
     "embedded_axes": embedded_axes,
     "optimal_filters": optimal_filters,
+    "filtered_sources": filtered_sources,
     "channel_crosstalk": channel_crosstalk,
     "upsampled": upsampled,
     "ar_whitened": ar_whitened,

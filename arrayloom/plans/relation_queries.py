@@ -12,6 +12,7 @@ from arrayloom.operators.components import connected_components, single_linkage
 from arrayloom.operators.order import order_estimates
 from arrayloom.plans.array_queries import SQL as ARRAY_SQL
 from arrayloom.plans.array_queries import p4_found
+from arrayloom.session import write_through
 from arrayloom.sources.tables import table
 
 ROWS = 128
@@ -80,8 +81,9 @@ def roi_boxes(spark, folder):
 def spikes_in_regions(spark, folder):
     """True spikes whose sensor takes part in a region, with the number of such regions."""
     spikes = table(spark, folder, "true_spikes").select("gt_id", "sensor_row", "sensor_col").distinct()
-    boxed = J.in_boxes(spikes, "sensor_row", "sensor_col", roi_boxes(spark, folder))
-    member = _regions(spark, folder).select("roi_row", "roi_col", F.col("row").alias("sensor_row"), F.col("col").alias("sensor_col"))
+    roi = write_through(_regions(spark, folder))
+    boxed = J.in_boxes(spikes, "sensor_row", "sensor_col", E.drop_degenerate(roi, ["roi_row", "roi_col"]))
+    member = roi.select("roi_row", "roi_col", F.col("row").alias("sensor_row"), F.col("col").alias("sensor_col"))
     return boxed.join(member, ["roi_row", "roi_col", "sensor_row", "sensor_col"], "left_semi").groupBy("gt_id").agg(F.count("*").alias("regions"))
 
 

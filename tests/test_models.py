@@ -41,6 +41,9 @@ def test_optimal_filter(spark):
     r = x.T @ x / 500
     want = np.linalg.solve(r, [1, 2, 0, -1])
     assert np.allclose(f, want / ([1, 2, 0, -1] @ want))
+    filters = D.optimal_filters(frames(spark, a=x), ["g"], t)
+    v = [r.v for r in D.filtered_sources(frames(spark, a=x), filters, ["g"]).orderBy("frame").collect()]
+    assert np.allclose(v, -x @ f)
 
 
 def test_wiener_and_crosstalk(spark):

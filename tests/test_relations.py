@@ -36,6 +36,8 @@ def test_asof(spark):
 def test_overlap_and_boxes(spark):
     sets = spark.createDataFrame([(1, x) for x in (1, 2, 3, 3)] + [(2, x) for x in (2, 3, 4, 5)] + [(3, 9)], "k int, m int")
     assert [(r.a, r.b, r.common, round(r.overlap, 6)) for r in J.set_overlap(sets, "k", "m").collect()] == [(1, 2, 2, 0.666667)]
+    same = spark.createDataFrame([(7, x) for x in (3, 2, 1)] + [(8, 9), (8, None)], "k int, m int")
+    assert sorted((r.a, r.b) for r in J.equal_sets(sets, same, "k", "m").collect()) == [(1, 7), (3, 8)]
     boxes = spark.createDataFrame([(0, 1, 20, 1, 3)], "box int, r0 int, r1 int, c0 int, c1 int")
     points = spark.createDataFrame([(20, 3), (21, 3), (1, 1), (5, 0)], "row int, col int")
     assert sorted((r.row, r.col) for r in J.in_boxes(points, "row", "col", boxes, 7).collect()) == [(1, 1), (20, 3)]
