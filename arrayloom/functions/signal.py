@@ -153,7 +153,8 @@ def histogram(df: DataFrame, by: list[str], value: str) -> DataFrame:
 
 def neighbourhood_energy(df: DataFrame, half_rows: int, half_cols: int, half_frames: int, chunk: int = CHUNK) -> DataFrame:
     """(row, col, frame, energy): sum of v squared over a box around each voxel; boxes that leave the data give
-    no row. The trace has the columns row, col, frame, v, complete in every sensor."""
+    no row. The trace has the columns row, col, frame, v, without gaps in a sensor; sensors may end at different
+    frames."""
     near = with_halo(df, "frame", half_frames, half_frames, chunk).withColumn("e", F.col("v") * F.col("v"))
     line = _line(["row", "col"]).rowsBetween(-half_frames, half_frames)
     near = near.withColumn("e", F.sum("e").over(line)).withColumn("_k", F.count("*").over(line))
