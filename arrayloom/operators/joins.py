@@ -86,6 +86,35 @@ def set_overlap(sets: DataFrame, key: str, member: str, others: DataFrame | None
     return out.select("a", "b", "common", (F.col("common") / F.col("_least")).alias("overlap"))
 
 
+def list_overlap(sets: DataFrame, group: str, key: str, member: str) -> DataFrame:
+    """(group_a, a, group_b, b, common, overlap): set_overlap between the sets of every two lists, group_a before
+    group_b; `group` names the list of a set."""
+    known = sets.filter(F.col(group).isNotNull() & F.col(key).isNotNull() & F.col(member).isNotNull())
+    d = write_through(known.select(F.col(group).alias("g"), F.col(key).alias("k"), F.col(member).alias("m")).distinct())
+    sized = d.join(d.groupBy("g", "k").agg(F.count("*").alias("n")), ["g", "k"])
+    a, b = (sized.select(F.col("g").alias(f"group_{s}"), F.col("k").alias(s), "m", F.col("n").alias(f"n{s}")) for s in "ab")
+    pairs = a.join(b, "m").filter("group_a < group_b")
+    out = pairs.groupBy("group_a", "a", "group_b", "b").agg(F.count("*").alias("common"), F.least(F.first("na"), F.first("nb")).alias("_least"))
+    return out.select("group_a", "a", "group_b", "b", "common", (F.col("common") / F.col("_least")).alias("overlap"))
+
+
+def list_parts(sets: DataFrame, group: str, member: list[str]) -> DataFrame:
+    """(group_a, group_b, part, n): members of every two lists that are in both, in the first only, in either;
+    group_a before group_b. Lists without a common member are there, too."""
+    known = sets.filter(F.col(group).isNotNull())
+    for m in member:
+        known = known.filter(F.col(m).isNotNull())
+    d = write_through(known.select(F.col(group).alias("g"), *member).distinct())
+    both = d.withColumnRenamed("g", "group_a").join(d.withColumnRenamed("g", "group_b"), member).filter("group_a < group_b")
+    both = both.groupBy("group_a", "group_b").agg(F.count("*").alias("both"))
+    size = write_through(d.groupBy("g").agg(F.count("*").alias("n")))
+    a, b = (size.select(F.col("g").alias(f"group_{s}"), F.col("n").alias(f"n{s}")) for s in "ab")
+    every = a.join(b, F.col("group_a") < F.col("group_b")).join(both, ["group_a", "group_b"], "left").withColumn("both", F.coalesce("both", F.lit(0)))
+    counts = {"both": F.col("both"), "first_only": F.col("na") - F.col("both"), "either": F.col("na") + F.col("nb") - F.col("both")}
+    parts = F.explode(F.array(*[F.struct(F.lit(name).alias("part"), n.alias("n")) for name, n in counts.items()])).alias("p")
+    return every.select("group_a", "group_b", parts).select("group_a", "group_b", "p.part", "p.n")
+
+
 def in_boxes(points: DataFrame, row: str, col: str, boxes: DataFrame, size: int = 16) -> DataFrame:
     """Rows of `points` joined with the boxes (r0, r1, c0, c1, inclusive) that hold them, over tiles of the plane."""
     tiles = boxes.withColumn("_tr", F.explode(F.sequence(F.floor(F.col("r0") / size), F.floor(F.col("r1") / size))))

@@ -36,15 +36,13 @@ def _templates(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "unit_templates")
 
 
-def _sets(spark: SparkSession, folder: str, run: str | None = None) -> DataFrame:
-    """Sensors by boss sensor, both as linear indices."""
-    events = _once(spark, folder, "filename")
-    if run:
-        events = events.filter(F.col("filename").contains(run))
+def _sets(spark: SparkSession, folder: str, *by: str) -> DataFrame:
+    """Sensors by boss sensor (and the fields `by` of its events), both as linear indices."""
+    events = _once(spark, folder, *by)
     sensors = p4_found(spark, folder)
-    boss = events.filter("boss_row IS NOT NULL AND boss_column IS NOT NULL").select("event_id", E.linear_index(F.col("boss_row"), F.col("boss_column"), ROWS).alias("roi"))
+    boss = events.filter("boss_row IS NOT NULL AND boss_column IS NOT NULL").select("event_id", *by, E.linear_index(F.col("boss_row"), F.col("boss_column"), ROWS).alias("roi"))
     took = boss.join(sensors, "event_id")
-    return took.select("roi", E.linear_index(F.col("sensor_row"), F.col("sensor_col"), ROWS).alias("pixel")).distinct()
+    return took.select(*by, "roi", E.linear_index(F.col("sensor_row"), F.col("sensor_col"), ROWS).alias("pixel")).distinct()
 
 
 def _regions(spark: SparkSession, folder: str) -> DataFrame:
@@ -95,17 +93,15 @@ def neighbourhood(spark, folder):
 
 
 def run_sets(spark, folder):
-    """Active sensors of two runs: in both, in one of them, in either."""
-    def active(run):
-        rows = _once(spark, folder, "filename").filter(F.col("filename").contains(run))
-        return E.active_sensors(rows, "boss_row", "boss_column", 1).drop("n")
-    a, b = active("run1"), active("run2")
-    parts = {"both": a.intersect(b), "first_only": a.exceptAll(b), "either": a.union(b).distinct()}
-    out = None
-    for name, df in parts.items():
-        row = df.groupBy().agg(F.count("*").alias("n")).select(F.lit(name).alias("part"), "n")
-        out = row if out is None else out.unionByName(row)
-    return out
+    """Active sensors of every two runs (files): in both, in the first only, in either."""
+    out = J.list_parts(_once(spark, folder, "filename"), "filename", ["boss_row", "boss_column"])
+    return out.withColumnsRenamed({"group_a": "file_a", "group_b": "file_b"})
+
+
+def roi_overlap_two_lists(spark, folder):
+    """Overlaps of the regions of one run (file) with those of another, for every two runs."""
+    out = J.list_overlap(_sets(spark, folder, "filename"), "filename", "roi", "pixel")
+    return _round(out.withColumnsRenamed({"group_a": "file_a", "group_b": "file_b"}), "overlap")
 
 
 def snr(spark, folder):
@@ -197,7 +193,7 @@ QUERIES = {
     "region_sensors": _regions,
     "roi_boxes": roi_boxes,
     "roi_overlap_self": lambda s, d: _round(J.set_overlap(_sets(s, d), "roi", "pixel"), "overlap"),
-    "roi_overlap_two_lists": lambda s, d: _round(J.set_overlap(_sets(s, d, "run1"), "roi", "pixel", _sets(s, d, "run2")), "overlap"),
+    "roi_overlap_two_lists": roi_overlap_two_lists,
     "run_sets": run_sets,
     "pairs_within": lambda s, d: _round(J.pairs_within(_units(s, d), "unit_id", "boss_row", "boss_col", 3.0), "distance"),
     "spikes_in_regions": spikes_in_regions,
