@@ -84,9 +84,12 @@ def keep_best(units: DataFrame, group: str, score: str) -> DataFrame:
 
 
 def first_places(spikes: DataFrame, label: str, key: str) -> DataFrame:
-    """(label, sensor_row, sensor_col, n): per label the position of its first record and the number of records."""
+    """(label, sensor_row, sensor_col, n): per label the position of its first record and the number of records.
+    Labels are compared without surrounding white space and case; repeated records count once."""
     first = F.min_by(F.struct("sensor_row", "sensor_col"), key)
-    return spikes.filter(F.col(label).isNotNull()).groupBy(label).agg(first.alias("p"), F.count("*").alias("n")).select(label, "p.*", "n")
+    name = F.lower(F.regexp_replace(label, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")).alias(label)
+    once = spikes.filter(F.col(label).isNotNull()).select(key, name, "sensor_row", "sensor_col").distinct()
+    return once.groupBy(label).agg(first.alias("p"), F.count("*").alias("n")).select(label, "p.*", "n")
 
 
 def numbered(units: DataFrame, order: list[str], name: str = "running_id") -> DataFrame:
