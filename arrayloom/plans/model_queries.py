@@ -9,6 +9,7 @@ from arrayloom.functions import signal as S
 from arrayloom.operators import decompose as D
 from arrayloom.operators import density as N
 from arrayloom.operators.agglomerate import agglomerate
+from arrayloom.operators.joins import pairs_within
 from arrayloom.plans.relation_queries import _sets
 from arrayloom.plans.trace_queries import BY, _X, traces
 from arrayloom.sources.tables import table
@@ -59,8 +60,10 @@ def filtered_sources(spark, folder):
 
 
 def channel_crosstalk(spark, folder):
+    """Crosstalk of all touching sensors, diagonal ones too, on the 10-row grid of the channels."""
     x = traces(spark, folder)
-    near = x.select("channel").distinct().filter("channel % 10 < 9").select(F.col("channel").alias("a"), (F.col("channel") + 1).alias("b"))
+    places = x.select("channel").distinct().select("channel", (F.col("channel") % 10).alias("row"), F.expr("channel div 10").alias("col"))
+    near = pairs_within(places, "channel", "row", "col", 1.5)
     return D.crosstalk(x, near, 3).withColumn("ratio", F.round("ratio", 6))
 
 
