@@ -1,6 +1,7 @@
 """arrayloom: analytics of dense sensor-array recordings as Spark DataFrame jobs.
 
-Every operator takes DataFrames and returns a DataFrame; nothing runs until the caller acts.
+Every operator takes DataFrames and returns a DataFrame. Operators that iterate or that write an intermediate
+table run jobs while they are called; their docstrings or modules say so. The others run nothing until the caller acts.
 """
 
 import sys

@@ -12,6 +12,16 @@ def _near(cell: Column) -> Column:
     return F.explode(F.array(cell - 1, cell, cell + 1))
 
 
+def spread_join(large: DataFrame, small: DataFrame, by: list[str], salt: Column | str, how: str = "inner", salts: int = 16) -> DataFrame:
+    """Equi-join on `by` of a table in which one key may hold a third of all rows with one of few rows a key: the
+    large side's keys are split into `salts` parts by `salt`, the small side stands in each of them once. `how` keeps
+    or drops rows of the large side (inner, left, left_semi, left_anti). Keys are never null.
+
+    Where the small side is known to be small Spark broadcasts it and the parts cost nothing but its copies."""
+    some = small.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
+    return large.withColumn("_salt", F.pmod(F.xxhash64(salt), F.lit(salts)).cast("int")).join(some, [*by, "_salt"], how).drop("_salt")
+
+
 def band_pairs(left: DataFrame, right: DataFrame, by: list[str], x: str, y: str, width: float) -> DataFrame:
     """Pairs of rows with equal `by` and |x - y| <= width, x of the left and y of the right table. The right rows
     stand in three buckets of that width each. Column names of the two tables must differ but for `by`. Null and

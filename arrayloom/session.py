@@ -14,7 +14,8 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def local_session(cores: int = 8, memory: str = "8g", **conf: str) -> SparkSession:
-    """A local session for tests and benches."""
+    """A local session for tests and benches, with a checkpoint folder of its own unless `conf` names one."""
+    conf = {"spark.checkpoint.dir": tempfile.mkdtemp(prefix="spark-checkpoint-")} | conf
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("arrayloom")
@@ -32,10 +33,13 @@ def local_session(cores: int = 8, memory: str = "8g", **conf: str) -> SparkSessi
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where that setting is unset."""
+    """The folder of spark.checkpoint.dir. Where it is unset, a session on one machine gets a temporary folder; a
+    cluster is refused, as its executors don't share such a folder."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share: intermediate tables are written there")
     app = spark.sparkContext.applicationId
     if app not in _own_roots:
         _own_roots[app] = tempfile.mkdtemp(prefix="spark-checkpoint-")
@@ -57,13 +61,19 @@ def reliable_checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def scratch_path(spark: SparkSession) -> str:
+    """A new path in the shared folder, deleted by drop_written or at the end of the session."""
+    path = f"{shared_folder(spark)}/arrayloom-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def write_through(df: DataFrame) -> DataFrame:
     """Cut the lineage by writing a table into the shared folder and reading it again.
     Its size is known afterwards, so Spark decides on a broadcast from a measured size."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/arrayloom-{uuid.uuid4().hex}"
+    path = scratch_path(spark)
     df.write.parquet(path)
-    _written.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._arrayloom_path = path
     return out

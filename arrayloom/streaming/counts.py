@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arrayloom.session import shared_folder
+from arrayloom.session import scratch_path
 
 
 def once(stream: DataFrame, key: str, arrived: str, late: str) -> DataFrame:
@@ -23,7 +21,7 @@ def windowed_counts(stream: DataFrame, by: list[str], arrived: str, width: str)
 def run_to_table(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Process what is there, exactly once into a Parquet table of the shared folder, and read that table."""
     spark: SparkSession = stream.sparkSession
-    path = f"{shared_folder(spark)}/arrayloom-stream-{uuid.uuid4().hex}"
+    path = scratch_path(spark)
     query = (
         stream.writeStream.format("parquet").outputMode(mode).option("path", f"{path}/out")
         .option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
