@@ -95,7 +95,7 @@ _CLUSTERS = """
         FROM s JOIN w USING (unit_id) WINDOW o AS (PARTITION BY unit_id ORDER BY amplitude, spike_id)),
     c AS (SELECT *, sum(gap) OVER (PARTITION BY unit_id ORDER BY amplitude, spike_id ROWS UNBOUNDED PRECEDING) AS c FROM g),
     m AS (
-        SELECT *, min(spike_id) OVER k AS cluster_id, count(*) OVER k AS size, avg(amplitude) OVER k AS middle
+        SELECT *, min(spike_id) OVER k AS cluster_id, count(*) OVER k AS size, sum(amplitude) OVER k AS s1, sum(amplitude * amplitude) OVER k AS s2
         FROM c WINDOW k AS (PARTITION BY unit_id, c))"""
 
 SQL = {
@@ -108,6 +108,11 @@ SQL = {
         WHERE abs(l.time - r.time) <= 0.5
         QUALIFY row_number() OVER (PARTITION BY gt_id ORDER BY abs(l.time - r.time), spike_id) = 1""",
     "p3_found": _CLUSTERS + " SELECT cluster_id, spike_id FROM m WHERE size >= 3",
+    "p3_clusters": _CLUSTERS + """
+        SELECT cluster_id, unit_id, size, spike_id, row_number() OVER (
+            PARTITION BY cluster_id
+            ORDER BY CASE WHEN width > 0 THEN round(1 - (size * amplitude * amplitude - 2 * amplitude * s1 + s2) / ((size - 1) * width ** 2), 6) ELSE 1 END DESC, spike_id)::INT AS rank
+        FROM m WHERE size >= 3 QUALIFY rank <= 3""",
     "p5_found": """
         WITH RECURSIVE e AS (
             SELECT unit_a AS a, unit_b AS b FROM unit_pairs

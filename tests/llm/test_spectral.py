@@ -44,3 +44,35 @@ def test_typical(spark):
     rows = [(1, 1, 1.0, None), (2, 1, 1.5, None), (3, 1, 1.6, None), (4, 1, 2.0, None)]
     out = most_typical(run(spark, rows, [(1, 2.0, 0)]), "m", "u", k=2).orderBy("rank").collect()
     assert [(r["rank"], r["m"], r["size"]) for r in out] == [(1, 2, 4), (2, 3, 4)]
+
+
+def test_chains_stay_whole(spark):
+    """Runs of linked cells are one cluster whatever their length and however uneven their cells are filled; a gap parts them."""
+    rows, want, n = [], [], 0
+    runs = [[1] * 3, [10, 10, 10], [100, 10, 100], [60, 1, 60], [3] * 5, [1] * 20, [7, 1, 1, 30] * 5, [2] * 150]
+    for u, counts in enumerate(runs):
+        for part in range(2):  # the same run twice, a gap apart
+            ids = []
+            for c, k in enumerate(counts):
+                ids += range(n, n + k)
+                rows += [(n + i, u, (c + part * (len(counts) + 2)) * 0.99 + 0.001 * i / k, None) for i in range(k)]
+                n += k
+            want += [(ids[0], i) for i in ids]
+    assert members(run(spark, rows, [(u, 1.0, 0) for u in range(len(runs))])) == sorted(want)
+
+
+def test_a_run_over_many_blocks(spark, monkeypatch):
+    """A pass that looks 16 cells ahead only still joins a run of 300 cells, in more passes."""
+    from arrayloom.llm import spectral
+
+    monkeypatch.setattr(spectral, "FARTHEST", 100)
+    rows = [(i, 1, i * 0.9, None) for i in range(60)] + [(100 + i, 2, i * 5.0, None) for i in range(50)]
+    assert members(run(spark, rows, [(1, 1.0, 0), (2, 1.0, 0)])) == [(0, i) for i in range(60)]
+
+
+def test_extremes(spark):
+    inf = float("inf")
+    rows = [(1, 1, inf, None), (2, 1, inf, None), (3, 1, -inf, None), (4, 1, 1e300, None), (5, 1, 1e300, None), (6, 1, 1e300, None), (7, 1, -1e-20, None), (8, 1, 0.0, None), (9, 1, 1e-3, None)]
+    rows += [(20 + i, 2, float(i // 3), None) for i in range(3000)]
+    got = members(run(spark, rows, [(1, 1e-2, 0), (2, 0.0, 0)]))
+    assert got == [(4, i) for i in (4, 5, 6)] + [(7, i) for i in (7, 8, 9)] + [(20 + i // 3 * 3, 20 + i) for i in range(3000)]
