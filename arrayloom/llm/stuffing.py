@@ -1,12 +1,15 @@
-"""Pages that are keywords, links or product tags rather than sentences.
-
-1. Every page's words are counted and ranked by windows; a line is fitted to log(count) over log(rank).
-2. Slope, residual and the divergence of the page's words from those that head its language (the share of
-   head words, as a binary Kullback-Leibler divergence) are held against pages of the same language and a
-   like length; extremes of any of them are flagged.
-3. An exact check follows for flagged pages. Clear extremes and clear prose, over the whole corpus, give
-   each word its log-odds; a word in whose neighbourhood the log-odds speak against prose is no word of a
-   sentence. Pages with more than half of such words are found. Links count as one such word each.
+"""Pages that are keywords, links or product tags rather than sentences, by their rank-frequency curves.
+
+1. Every page's words are counted and ranked by windows, and a line is fitted to log(count) over log(rank): its
+   slope and the residual. Of the words, those count as head words that many pages of a language use (the head
+   of that language's own curve).
+2. Pages of the same language and a like length say what is usual: the median share of head words, the quartiles
+   of slope and residual. What few pages say is drawn towards what all pages say, by a fixed weight.
+3. A page is found if the share of its head words is below half of the usual one, that is, if less than half
+   of it reads like prose, and this is more than chance for its length (divergence), or its slope or residual is
+   extreme, too.
+
+No part of a page but its words' counts decides, and nothing is learned from labels.
 """
 
 from __future__ import annotations
@@ -16,17 +19,19 @@ from pyspark.sql import functions as F
 
 from arrayloom.session import write_through
 
-HEAD_WORDS = 64
-#: A language with less than this share of all pages is put together with other rare ones.
-LEAST_LANGUAGE = 0.01
-LEAST_WORDS = 20
-#: Lengths with fewer pages of a language are held against all of the language.
-LEAST_PAGES = 50
-NEIGHBOURS = 4
-AGAINST_PROSE = -0.3
-_LINK, _NUMBER, _UNSPACED = "xlinkx", "xnumberx", "xunspacedx"
-#: Blocks of scripts written without spaces (Thai and Lao, Khmer, kana, Han).
-_NO_SPACES = r"[\u0e00-\u0eff\u1780-\u17ff\u3005-\u30ff\u31f0-\u31ff\u3400-\u9fff\uf900-\ufaff]+"
+#: A head word is used by this share of a language's pages, by the lower end of Wilson's interval.
+HEAD_SHARE = 0.1
+#: Width of that interval in standard errors: a language of one or two pages has no head words by chance.
+HEAD_CERTAINTY = 4.0
+#: What n pages say weighs n against this number.
+PRIOR_PAGES = 50.0
+#: A length's usual share of head words is at least this part of its language's, as stuffed pages may prevail at a length.
+LEAST_USUAL = 0.8
+#: Part of the usual share of head words below which less than half of a page is prose.
+HALF = 0.5
+_LINK = "xlinkx"
+#: Blocks of scripts written without spaces (Thai and Lao, Khmer, kana, Han); each sign is a word.
+_NO_SPACES = r"[฀-໿ក-៿々-ヿㇰ-ㇿ㐀-鿿豈-﫿]"
 #: Cyrillic letters and the Latin ones they are mistaken for.
 LOOKALIKES = ("аеорсухіјѕ", "aeopcyxijs")
 
@@ -38,130 +43,114 @@ def language(lang: Column) -> Column:
 
 
 def page_words(text: Column) -> Column:
-    """The words of a page in order: a link is one word, markup none; case and lookalikes are folded, numbers are
-    one word, and so are runs of scripts without spaces."""
+    """The words of a page in order: a link is one word, markup and numbers are none; case and lookalikes are folded;
+    of scripts without spaces each sign is a word."""
     text = F.regexp_replace(F.lower(text), r"<a\s[^<>]*>|\[url=[^\[\]]*\]", f" {_LINK} ")
     text = F.regexp_replace(text, r"<[^<>\n]*>|\[[^\[\]\n]*\]", " ")
     text = F.regexp_replace(text, r"(?:https?://|www\.)\S+", f" {_LINK} ")
     text = F.regexp_replace(text, r"&(?:[a-z]+|#[0-9]+);", " ")
-    text = F.regexp_replace(text, _NO_SPACES, f" {_UNSPACED} ")
-    text = F.regexp_replace(text, r"(?<![\p{L}\p{N}])\p{N}+(?![\p{L}\p{N}])", _NUMBER)
+    text = F.regexp_replace(text, _NO_SPACES, " $0 ")
+    text = F.regexp_replace(text, r"(?<![\p{L}\p{N}])\p{N}+(?![\p{L}\p{N}])", " ")
     return F.regexp_extract_all(F.translate(text, *LOOKALIKES), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
 def _words(df: DataFrame, key: str, text: str, lang: str) -> DataFrame:
-    """(page, key, lang, words): one row per page with its words in order; rare languages are put together."""
+    """(page, key, lang, words): one row per page with its words in order. A page is a row of the table."""
     rows = df.select(F.col(key).alias("key"), language(F.col(lang)).alias("lang"), F.col(text).cast("string").alias("text"))
     rows = rows.filter("key IS NOT NULL AND text IS NOT NULL")
-    shares = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    total = F.sum("n").over(Window.partitionBy(F.lit(0)))  # one row per language code
-    large = shares.withColumn("share", F.col("n") / total).filter(F.col("share") >= LEAST_LANGUAGE).select("lang", F.lit(True).alias("own"))
-    rows = rows.join(F.broadcast(large), "lang", "left")
-    lang = F.when(F.col("own"), F.col("lang")).otherwise("xx")
-    return write_through(rows.select(F.monotonically_increasing_id().alias("page"), "key", lang.alias("lang"), page_words(F.col("text")).alias("words")))
-
-
-def _curves(words: DataFrame, heads: DataFrame) -> DataFrame:
-    """Per page: words, distinct words, head words, slope and residual of the rank-frequency line. Pages are
-    shuffled once, as arrays; counting, ranking and fitting stay where a page's words are."""
-    tokens = words.select("page", "lang", "words").repartition("page").select("page", "lang", F.explode("words").alias("word"))
-    counts = tokens.groupBy("page", "lang", "word").agg(F.count("*").alias("n"))
-    marked = counts.join(F.broadcast(heads), ["lang", "word"], "left")
+    return write_through(rows.select(F.monotonically_increasing_id().alias("page"), "key", "lang", page_words(F.col("text")).alias("words")))
+
+
+def _heads(words: DataFrame) -> DataFrame:
+    """(word, head): head words of any language, as posts quote one another across languages. A language has at most
+    1 / HEAD_SHARE times as many as its pages have different words on average."""
+    used = words.select("lang", F.explode(F.array_distinct("words")).alias("word")).filter(F.col("word") != _LINK)
+    used = used.groupBy("lang", "word").agg(F.count("*").alias("k"))
+    pages = words.groupBy("lang").agg(F.count("*").alias("n"))  # one row for each of at most 677 codes
+    share, z2 = F.col("k") / F.col("n"), HEAD_CERTAINTY**2
+    low = (share + z2 / (2 * F.col("n")) - HEAD_CERTAINTY * F.sqrt(share * (1 - share) / F.col("n") + z2 / (4 * F.col("n") ** 2))) / (1 + z2 / F.col("n"))
+    return write_through(used.join(F.broadcast(pages), "lang").filter(low >= HEAD_SHARE).select("word", F.lit(True).alias("head")).distinct())
+
+
+def page_curves(df: DataFrame, key: str, text: str = "text", lang: str = "lang") -> DataFrame:
+    """(key, lang, words, distinct, head, slope, residual) of each page with words: its number of words, of different
+    words and of head words, and the line through its rank-frequency curve (no slope for one word). Pages are
+    shuffled once, as arrays; counting, ranking and fitting stay where a page's words are. Runs jobs."""
+    words = _words(df, key, text, lang)
+    heads = _heads(words)
+    tokens = words.repartition("page").select("page", "key", "lang", F.explode("words").alias("word"))
+    counts = tokens.groupBy("page", "word").agg(F.count("*").alias("n"), F.first("key").alias("key"), F.first("lang").alias("lang"))
+    marked = counts.join(heads, "word", "left")  # Spark broadcasts the head words if their measured size allows it
     order = Window.partitionBy("page").orderBy(F.desc("n"))
     lines = marked.withColumn("y", F.ln("n")).withColumn("x", F.ln(F.row_number().over(order)))
-    return lines.groupBy("page").agg(
-        F.first("lang").alias("lang"), F.sum("n").alias("words"), F.count("*").alias("distinct"),
+    return write_through(lines.groupBy("page").agg(
+        F.first("key").alias("key"), F.first("lang").alias("lang"), F.sum("n").alias("words"), F.count("*").alias("distinct"),
         F.sum(F.when(F.col("head"), F.col("n")).otherwise(0)).alias("head"),
         F.expr("regr_slope(y, x)").alias("slope"),
         F.expr("sqrt(greatest(0, regr_syy(y, x) - coalesce(regr_sxy(y, x) * regr_slope(y, x), 0)) / count(*))").alias("residual"),
-    )
-
-
-def _heads(words: DataFrame, salts: int = 16) -> DataFrame:
-    """The words of most pages of each language: at most HEAD_WORDS for each of at most 677 codes."""
-    each = words.select("lang", F.explode(F.array_distinct("words")).alias("word"))
-    pages = each.filter(~F.col("word").isin(_LINK, _NUMBER)).groupBy("lang", "word").agg(F.count("*").alias("pages"))
-    best = [F.desc("pages"), F.asc("word")]
-    part = Window.partitionBy("lang", "salt").orderBy(*best)
-    some = pages.withColumn("salt", F.pmod(F.hash("word"), F.lit(salts))).withColumn("r", F.row_number().over(part))
-    whole = Window.partitionBy("lang").orderBy(*best)
-    top = some.filter(F.col("r") <= HEAD_WORDS).withColumn("r", F.row_number().over(whole)).filter(F.col("r") <= HEAD_WORDS)
-    return top.select("lang", "word", F.lit(True).alias("head"))
+    ))
 
 
 def _usual(pages: DataFrame, by: list[str], prefix: str) -> DataFrame:
     """What pages of a kind are like: the median head share, the quartiles of slope and residual."""
     quartiles = F.array(F.lit(0.25), F.lit(0.75))
     return pages.groupBy(*by).agg(
-        F.count("*").alias(f"{prefix}pages"),
-        F.percentile_approx("p", F.lit(0.5), F.lit(1000)).alias(f"{prefix}p_mid"),
-        *[F.percentile_approx(c, quartiles, F.lit(1000)).alias(f"{prefix}{c}_q") for c in ("slope", "residual")],
+        F.count("*").alias(f"{prefix}n"), F.percentile_approx("p", F.lit(0.5), F.lit(1000)).alias(f"{prefix}p"),
+        *[F.percentile_approx(c, quartiles, F.lit(1000)).alias(f"{prefix}{c}") for c in ("slope", "residual")],
     )
 
 
-def page_features(df: DataFrame, key: str, text: str = "text", lang: str = "lang") -> tuple[DataFrame, DataFrame]:
-    """(words, pages): the words of each page, and per page its curve, its divergence and what is usual for
-    its language and length. A page is a row of the table."""
-    words = _words(df, key, text, lang)
-    pages = _curves(words, _heads(words)).withColumn("bin", F.floor(F.log2("words"))).withColumn("p", F.col("head") / F.col("words"))
-    pages = write_through(pages)
-    # at most one row for each of 677 codes and 64 lengths, and one more for each code
-    fine, coarse = _usual(pages, ["lang", "bin"], ""), _usual(pages, ["lang"], "lang_")
-    pages = pages.join(F.broadcast(fine), ["lang", "bin"]).join(F.broadcast(coarse), "lang")
-    few = F.col("pages") < LEAST_PAGES
-    pages = pages.withColumns(
-        {c: F.when(few, F.col(f"lang_{c}")).otherwise(F.col(c)) for c in ("slope_q", "residual_q")}
-        | {"p_mid": F.when(few, F.col("lang_p_mid")).otherwise(F.greatest("p_mid", 0.8 * F.col("lang_p_mid")))}
-    )
-    pages = write_through(pages.select("page", "lang", "words", "distinct", "slope", "residual", "p", "p_mid", "slope_q", "residual_q"))
-    return words, pages
+def _drawn(own: Column, n: str, every: Column) -> Column:
+    """What n pages say, drawn towards what all pages say."""
+    return F.coalesce((F.col(n) * own + PRIOR_PAGES * every) / (F.col(n) + PRIOR_PAGES), own, every)
+
 
+def with_usual(curves: DataFrame) -> DataFrame:
+    """Adds what is usual for a page's language and length: usual_p, and the quartiles slope_q and residual_q."""
+    pages = curves.withColumn("bin", F.floor(F.log2("words"))).withColumn("p", F.col("head") / F.col("words"))
+    # at most a row for each of 677 codes and 64 lengths, for each code, for each length, and one in all
+    both, length, code = _usual(pages, ["lang", "bin"], "b_"), _usual(pages, ["bin"], "l_"), _usual(pages, ["lang"], "c_")
+    every = pages.agg(F.percentile_approx("p", F.lit(0.5), F.lit(1000)).alias("e_p"))
+    kinds = both.join(F.broadcast(length), "bin").join(F.broadcast(code), "lang").join(F.broadcast(every))  # one row
+    p_code = _drawn(F.col("c_p"), "c_n", F.col("e_p"))
+    usual = {"usual_p": F.greatest(_drawn(F.col("b_p"), "b_n", p_code), LEAST_USUAL * p_code)}
+    for c in ("slope", "residual"):
+        usual[f"{c}_q"] = F.array(*[_drawn(F.get(f"b_{c}", F.lit(i)), "b_n", F.get(f"l_{c}", F.lit(i))) for i in (0, 1)])
+    return pages.join(F.broadcast(kinds.select("lang", "bin", *[x.alias(c) for c, x in usual.items()])), ["lang", "bin"])
 
-def _divergence() -> Column:
-    """Of the page's head share p from the usual one, in nats; 0 where p isn't smaller."""
-    p, q = F.col("p"), F.greatest(F.least("p_mid", F.lit(0.99)), F.lit(0.01))
+
+def _divergence(p: Column, q: Column) -> Column:
+    """Kullback-Leibler divergence of a share p from q, in nats; 0 where p isn't smaller."""
+    q = F.greatest(F.least(q, F.lit(0.999)), F.lit(1e-3))
     part = F.when(p > 0, p * F.ln(p / q)).otherwise(0.0)
-    return F.when(p < q, part + (1 - p) * F.ln((1 - p) / (1 - q))).otherwise(0.0)
+    return F.when(p < q, part + F.when(p < 1, (1 - p) * F.ln((1 - p) / (1 - q))).otherwise(0.0)).otherwise(0.0)
 
 
 def _outside(c: str, times: float) -> Column:
-    width = F.greatest(F.col(f"{c}_q")[1] - F.col(f"{c}_q")[0], F.lit(1e-3))
-    return (F.col(c) < F.col(f"{c}_q")[0] - times * width) | (F.col(c) > F.col(f"{c}_q")[1] + times * width)
+    """Farther than `times` the width of the quartiles from them; false for pages without a slope."""
+    low, high = F.col(f"{c}_q")[0], F.col(f"{c}_q")[1]
+    width = F.greatest(high - low, F.lit(1e-3))
+    return F.coalesce((F.col(c) < low - times * width) | (F.col(c) > high + times * width), F.lit(False))
 
 
 def stuffed_pages(
-    df: DataFrame, key: str, text: str = "text", lang: str = "lang", flag_divergence: float = 0.02, flag_spread: float = 1.5
+    df: DataFrame, key: str, text: str = "text", lang: str = "lang", evidence: float = 2.0, spread: float = 2.0
 ) -> DataFrame:
-    """(key, share, slope, residual, divergence): pages more than half of whose words are no words of sentences.
+    """(key, head_share, usual_share, divergence, slope, residual): pages less than half of which reads like prose.
+
+    The share of head words must be below HALF of that of pages of the same language and a like length, and one of
+    these must hold: the page's words give at least `evidence` nats against that half (words times divergence
+    from it; so a page needs about eight words), or slope or residual lies beyond `spread` interquartile ranges
+    from the usual quartiles. divergence is that of the page from the usual share, in nats a word.
 
-    `flag_divergence` (nats) and `flag_spread` (interquartile ranges beyond the quartiles) set what is
-    extreme for the first stage; both are wide, so the exact check decides. Null keys and null texts take
-    no part; texts without words are never found; repeated rows are pages of their own and give one row; a key
-    with several texts is found if one of them is (with the largest share). Null or unknown languages form one of their own.
-    Other columns are ignored.
+    Null keys and null texts take no part; texts without words are never found; repeated rows are pages of their own
+    and give one row; a key with several texts is found if one of them is (the one of largest divergence is shown).
+    Null or unknown languages form one of their own. Other columns are ignored. Runs jobs while it is called.
     """
-    words, pages = page_features(df, key, text, lang)
-    pages = pages.withColumn("divergence", _divergence())
-    flagged = (F.col("divergence") >= flag_divergence) | _outside("slope", flag_spread) | _outside("residual", flag_spread)
-    flagged = write_through(pages.filter(flagged).select("page", "slope", "residual", "divergence"))
-
-    enough = (F.col("words") >= LEAST_WORDS) & (F.col("p_mid") > 0.1)
-    classed = pages.filter(enough & ((F.col("p") < 0.35 * F.col("p_mid")) | (F.col("p") > 0.7 * F.col("p_mid"))))
-    classed = classed.select("page", (F.col("p") > 0.5 * F.col("p_mid")).cast("long").alias("prose"))
-    total = classed.agg(F.coalesce(F.sum("prose"), F.lit(0)).alias("prose"), F.count("*").alias("n")).first()  # two numbers
-    seen = words.join(classed, "page").select("prose", F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.sum("prose").alias("a"), F.sum(1 - F.col("prose")).alias("b"))
-    odds = F.ln((F.col("a") + 0.5) / (total["prose"] + 1)) - F.ln((F.col("b") + 0.5) / (total["n"] - total["prose"] + 1))
-    odds = seen.select("word", odds.alias("odds")).filter(F.col("word") != _NUMBER)
-    odds = odds.select("word", F.greatest(F.lit(-4.0), F.least(F.lit(4.0), "odds")).alias("odds"))
-    odds = write_through(odds.withColumn("odds", F.when(F.col("word") == _LINK, F.least("odds", F.lit(0.0))).otherwise(F.col("odds"))))
-
-    tokens = words.join(flagged, "page").select("page", "key", "slope", "residual", "divergence", F.posexplode("words").alias("at", "word"))
-    near = Window.partitionBy("page").orderBy("at").rowsBetween(-NEIGHBOURS, NEIGHBOURS)
-    against = (F.avg("odds").over(near) < AGAINST_PROSE) | (F.col("word") == _LINK)
-    judged = tokens.join(odds, "word", "left").withColumn("odds", F.coalesce("odds", F.lit(0.0))).withColumn("against", against)
-    shares = judged.groupBy("page").agg(
-        F.avg(F.col("against").cast("double")).alias("share"),
-        *[F.first(c).alias(c) for c in ("key", "slope", "residual", "divergence")],
-    )
-    found = shares.filter("share > 0.5").groupBy("key").agg(F.max_by(F.struct("share", "slope", "residual", "divergence"), "share").alias("b"))
-    return found.select(F.col("key").alias(key), "b.*")
+    pages = with_usual(page_curves(df, key, text, lang))
+    p, half = F.col("p"), HALF * F.col("usual_p")
+    against = F.col("words") * _divergence(p, half)
+    found = pages.filter((p < half) & ((against >= evidence) | _outside("slope", spread) | _outside("residual", spread)))
+    shown = F.struct(_divergence(p, F.col("usual_p")).alias("divergence"), p.alias("head_share"), F.col("usual_p").alias("usual_share"), "slope", "residual")
+    best = found.groupBy("key").agg(F.max_by(shown, shown["divergence"]).alias("b"))
+    return best.select(F.col("key").alias(key), "b.head_share", "b.usual_share", "b.divergence", "b.slope", "b.residual")
