@@ -88,13 +88,15 @@ def dilate(df: DataFrame, by: list[str], seed: str, horizon: int, total: str, ch
 
 
 def lag_embed(df: DataFrame, by: list[str], lags: int, value: str = "v", chunk: int = CHUNK) -> DataFrame:
-    """Long form of stacked forward lags: (by, frame, lag, v) with lag 0..lags-1; the last `lags` frames read 0."""
+    """Long form of stacked forward lags: (by, frame, lag, v), every frame with each lag 0..lags-1; the last `lags`
+    frames read 0."""
     last = df.groupBy(*by).agg(F.max("frame").alias("_last"))
     near = with_halo(df.select(*by, "frame", F.col(value).alias("v")), "frame", 0, lags - 1, chunk)
     stacked = near.withColumn("_ahead", F.collect_list("v").over(_line(by).rowsBetween(0, lags - 1)))
     rows = _core(stacked).join(last, by)
-    each = rows.select(*by, "frame", "_last", F.posexplode("_ahead").alias("lag", "v"))
-    return each.select(*by, "frame", "lag", F.when(F.col("frame") > F.col("_last") - lags, 0.0).otherwise(F.col("v")).alias("v"))
+    zeros = F.array_repeat(F.lit(0.0), lags)
+    whole = F.when(F.col("frame") > F.col("_last") - lags, zeros).otherwise(F.col("_ahead"))
+    return rows.select(*by, "frame", F.posexplode(whole).alias("lag", "v"))
 
 
 def snippets(df: DataFrame, spikes: DataFrame, by: list[str], before: int, behind: int, value: str = "v") -> DataFrame:

@@ -2,7 +2,7 @@
 
 Every input split dictionary-encodes its keys and reduces its rows into dense numpy arrays, one slot
 per key; so a hot key costs a split no more than any other rows. The arrays leave the split as blocks
-(a fixed number, chosen by a hash of the key) and are merged in a tree: first within groups of
+(as many as there are reduce tasks, chosen by a hash of the key) and are merged in a tree: first within groups of
 splits, then overall. No row of the input is shuffled by key.
 """
 
@@ -15,8 +15,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arrayloom.session import tree_fan
+from arrayloom.session import tree_blocks, tree_fan
 
+#: Rows that a split reduces at a time.
+HELD = 200_000
 _ARRAYS = "block int, part int, keys array<bigint>, ids array<bigint>, values array<double>"
 
 
@@ -31,7 +33,7 @@ def _block_of(keys: np.ndarray, blocks: int) -> np.ndarray:
 
 
 def _top(keys: np.ndarray, ids: np.ndarray, values: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Dense top-k: the dictionary (sorted keys), ids and values in arrays of k slots a key, empty slots -1.
+    """Dense top-k in arrays of k slots a key of the dictionary (sorted keys); of the slots in use, the keys, ids and values.
 
     Larger values first, then smaller ids; rows of one key and id count once."""
     dictionary, codes = np.unique(keys, return_inverse=True)
@@ -51,13 +53,8 @@ def _top(keys: np.ndarray, ids: np.ndarray, values: np.ndarray, k: int) -> tuple
             live = live[ids[live] != first[codes[live]]]
             if not len(live):
                 break
-    return dictionary, np.where(used, out_ids, -1), np.where(used, out_values, -np.inf)
-
-
-def _flat(dictionary: np.ndarray, ids: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    k = ids.shape[1] if ids.ndim == 2 else 1
-    keep = np.isfinite(values).ravel()
-    return np.repeat(dictionary, k)[keep], ids.ravel()[keep], values.ravel()[keep]
+    keep = used.ravel()
+    return np.repeat(dictionary, k)[keep], out_ids.ravel()[keep], out_values.ravel()[keep]
 
 
 def _blocks(keys: np.ndarray, ids: np.ndarray, values: np.ndarray, blocks: int, part: int) -> Iterator[pa.RecordBatch]:
@@ -78,19 +75,30 @@ def _blocks(keys: np.ndarray, ids: np.ndarray, values: np.ndarray, blocks: int,
     )
 
 
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The columns of batches, put together to at least HELD rows but for the last."""
+    held, rows = [], 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= HELD:
+            yield [c.to_numpy() for c in pa.Table.from_batches(held).columns]
+            held, rows = [], 0
+    if rows:
+        yield [c.to_numpy() for c in pa.Table.from_batches(held).columns]
+
+
 def _split_top(k: int, blocks: int, fan: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        keys, ids, values = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
-        for batch in batches:
-            a, b, i, v = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(4))
-            more = _flat(*_top(_pack(a, b), i.astype(np.int64), v.astype(float), k))
-            keys, ids, values = (np.concatenate(x) for x in zip((keys, ids, values), more))
-            keys, ids, values = _flat(*_top(keys, ids, values, k))
+        top = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        for a, b, i, v in _together(batches):
+            more = _pack(a, b), i.astype(np.int64), v.astype(float)
+            top = _top(*(np.concatenate(x) for x in zip(top, more)), k)
         context = TaskContext.get()
-        if len(keys):
-            yield from _blocks(keys, ids, values, blocks, context.partitionId() % fan if context else 0)
+        if len(top[0]):
+            yield from _blocks(*top, blocks, context.partitionId() % fan if context else 0)
 
     return run
 
@@ -98,7 +106,7 @@ def _split_top(k: int, blocks: int, fan: int) -> Callable:
 def _merge_top(k: int, final: bool) -> Callable:
     def run(table: pa.Table) -> pa.Table:
         keys, ids, values = (table.column(c).combine_chunks().flatten().to_numpy() for c in ("keys", "ids", "values"))
-        keys, ids, values = _flat(*_top(keys, ids, values, k))
+        keys, ids, values = _top(keys, ids, values, k)
         if final:
             return pa.table({"key": keys, "id": ids, "value": values})
         one = pa.array([0, len(keys)], pa.int32())
@@ -116,21 +124,21 @@ def _merge_top(k: int, final: bool) -> Callable:
 
 
 def top_per_key(
-    df: DataFrame, keys: tuple[str, str], id_col: str, value: Column, k: int = 3, blocks: int = 64, fan: int | None = None
+    df: DataFrame, keys: tuple[str, str], id_col: str, value: Column, k: int = 3, blocks: int | None = None, fan: int | None = None
 ) -> DataFrame:
     """(keys, id_col, value): of each pair of 32-bit keys the k rows of largest `value` (a column), ties to the
     smaller id.
 
     Rows with a null key or id or a null or NaN value take no part; rows that repeat a key and id count
-    once (with their largest value); infinite values take no part. An empty table gives no rows; other columns are
+    once (with their largest value); infinite values are values. An empty table gives no rows; other columns are
     ignored. A task holds k slots per key it meets, never the rows of a key.
     """
     a, b = keys
     rows = df.select(
         F.col(a).cast("int").alias("a"), F.col(b).cast("int").alias("b"), F.col(id_col).cast("long").alias("i"),
         value.cast("double").alias("v"),
-    ).filter("a IS NOT NULL AND b IS NOT NULL AND i IS NOT NULL AND v IS NOT NULL AND NOT isnan(v) AND abs(v) < double('Infinity')")
-    parts = rows.mapInArrow(_split_top(k, blocks, fan or tree_fan(df.sparkSession)), _ARRAYS)
+    ).filter("a IS NOT NULL AND b IS NOT NULL AND i IS NOT NULL AND v IS NOT NULL AND NOT isnan(v)")
+    parts = rows.mapInArrow(_split_top(k, blocks or tree_blocks(df.sparkSession), fan or tree_fan(df.sparkSession)), _ARRAYS)
     merged = parts.groupBy("block", "part").applyInArrow(_merge_top(k, False), _ARRAYS)
     out = merged.groupBy("block").applyInArrow(_merge_top(k, True), "key bigint, id bigint, value double")
     return out.select(
@@ -157,8 +165,7 @@ def _split_sum(blocks: int, fan: int) -> Callable:
         from pyspark import TaskContext
 
         total = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
-        for batch in batches:
-            a, b, v = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(3))
+        for a, b, v in _together(batches):
             more = _sum(_pack(a, b), np.ones(len(a), np.int64), v.astype(float))
             total = _sum(*(np.concatenate(x) for x in zip(total, more)))
         context = TaskContext.get()
@@ -180,7 +187,7 @@ def _merge_sum(final: bool) -> Callable:
     return run
 
 
-def totals_per_key(df: DataFrame, keys: tuple[str, str], value: Column, blocks: int = 64, fan: int | None = None) -> DataFrame:
+def totals_per_key(df: DataFrame, keys: tuple[str, str], value: Column, blocks: int | None = None, fan: int | None = None) -> DataFrame:
     """(keys, n, total): count and sum of `value` (a column) of each pair of 32-bit keys, by dense arrays.
 
     Rows with a null key or a null or NaN value take no part; repeated rows count each time (deduplicate
@@ -190,7 +197,7 @@ def totals_per_key(df: DataFrame, keys: tuple[str, str], value: Column, blocks:
     rows = df.select(
         F.col(a).cast("int").alias("a"), F.col(b).cast("int").alias("b"), value.cast("double").alias("v")
     ).filter("a IS NOT NULL AND b IS NOT NULL AND v IS NOT NULL AND NOT isnan(v)")
-    parts = rows.mapInArrow(_split_sum(blocks, fan or tree_fan(df.sparkSession)), _ARRAYS)
+    parts = rows.mapInArrow(_split_sum(blocks or tree_blocks(df.sparkSession), fan or tree_fan(df.sparkSession)), _ARRAYS)
     merged = parts.groupBy("block", "part").applyInArrow(_merge_sum(False), _ARRAYS)
     out = merged.groupBy("block").applyInArrow(_merge_sum(True), "key bigint, n bigint, total double")
     return out.select(F.shiftright("key", 32).cast("int").alias(a), _low("key").alias(b), "n", "total")

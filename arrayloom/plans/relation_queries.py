@@ -166,11 +166,6 @@ def lag_product(spark, folder):
     return both.groupBy("unit_id", (F.col("lag") + F.col("lag2")).alias("lag")).agg(F.round(F.sum(F.col("v") * F.col("v2")), 6).alias("v"))
 
 
-def exact_coincidences(spark, folder):
-    """Spikes of one unit that meet exactly one spike of another one, by pair: number only."""
-    return U.coincidence_fractions(table(spark, folder, "unit_spikes"), _pairs(spark, folder), 1.0).select("a", "b", "n")
-
-
 def event_coincidences(spark, folder):
     """True spikes with exactly one event of their sensor within ten milliseconds, and that event."""
     spikes = table(spark, folder, "true_spikes").select("gt_id", F.col("sensor_row").alias("boss_row"), F.col("sensor_col").alias("boss_column"), F.col("time").alias("t")).filter("t IS NOT NULL AND NOT isnan(t)").distinct()
@@ -259,14 +254,16 @@ SQL = {
     "roi_overlap_self": f"""WITH {_SETS}, D AS (SELECT DISTINCT roi, pixel FROM ST), N AS (SELECT roi, count(*) AS n FROM D GROUP BY 1)
         SELECT x.roi AS a, y.roi AS b, count(*) AS common, round(count(*) / least(any_value(p.n), any_value(q.n)), 6) AS overlap
         FROM D x JOIN D y ON x.pixel = y.pixel AND x.roi < y.roi JOIN N p ON p.roi = x.roi JOIN N q ON q.roi = y.roi GROUP BY x.roi, y.roi""",
-    "roi_overlap_two_lists": f"""WITH {_SETS}, D AS (SELECT DISTINCT roi, pixel FROM ST WHERE contains(filename, 'run1')), D2 AS (SELECT DISTINCT roi, pixel FROM ST WHERE contains(filename, 'run2')),
-        N AS (SELECT roi, count(*) AS n FROM D GROUP BY 1), N2 AS (SELECT roi, count(*) AS n FROM D2 GROUP BY 1)
-        SELECT x.roi AS a, y.roi AS b, count(*) AS common, round(count(*) / least(any_value(p.n), any_value(q.n)), 6) AS overlap
-        FROM D x JOIN D2 y ON x.pixel = y.pixel JOIN N p ON p.roi = x.roi JOIN N2 q ON q.roi = y.roi GROUP BY x.roi, y.roi""",
-    "run_sets": f"""WITH {_ONCE}, P AS (SELECT DISTINCT boss_row, boss_column FROM B WHERE boss_row IS NOT NULL AND contains(filename, 'run1')),
-        Q AS (SELECT DISTINCT boss_row, boss_column FROM B WHERE boss_row IS NOT NULL AND contains(filename, 'run2'))
-        SELECT 'both' AS part, count(*) AS n FROM (SELECT * FROM P INTERSECT SELECT * FROM Q) UNION ALL
-        SELECT 'first_only', count(*) FROM (SELECT * FROM P EXCEPT SELECT * FROM Q) UNION ALL SELECT 'either', count(*) FROM (SELECT * FROM P UNION SELECT * FROM Q)""",
+    "roi_overlap_two_lists": f"""WITH {_SETS}, D AS (SELECT * FROM ST WHERE filename IS NOT NULL), N AS (SELECT filename, roi, count(*) AS n FROM D GROUP BY 1, 2)
+        SELECT x.filename AS file_a, x.roi AS a, y.filename AS file_b, y.roi AS b, count(*) AS common, round(count(*) / least(any_value(p.n), any_value(q.n)), 6) AS overlap
+        FROM D x JOIN D y ON x.pixel = y.pixel AND x.filename < y.filename JOIN N p ON p.filename = x.filename AND p.roi = x.roi
+        JOIN N q ON q.filename = y.filename AND q.roi = y.roi GROUP BY x.filename, x.roi, y.filename, y.roi""",
+    "run_sets": f"""WITH {_ONCE}, P AS (SELECT DISTINCT filename, boss_row, boss_column FROM B WHERE filename IS NOT NULL AND boss_row IS NOT NULL AND boss_column IS NOT NULL),
+        N AS (SELECT filename, count(*) AS n FROM P GROUP BY 1),
+        C AS (SELECT x.filename AS a, y.filename AS b, count(*) AS n FROM P x JOIN P y USING (boss_row, boss_column) WHERE x.filename < y.filename GROUP BY 1, 2),
+        S AS (SELECT x.filename AS file_a, y.filename AS file_b, x.n AS na, y.n AS nb, coalesce(C.n, 0) AS common FROM N x JOIN N y ON x.filename < y.filename LEFT JOIN C ON a = x.filename AND b = y.filename)
+        SELECT file_a, file_b, 'both' AS part, common AS n FROM S UNION ALL SELECT file_a, file_b, 'first_only', na - common FROM S
+        UNION ALL SELECT file_a, file_b, 'either', na + nb - common FROM S""",
     "pairs_within": f"""WITH {_U} SELECT x.unit_id AS a, y.unit_id AS b, round(sqrt((x.boss_row - y.boss_row) ** 2 + (x.boss_col - y.boss_col) ** 2), 6) AS distance
         FROM U x JOIN U y ON x.unit_id < y.unit_id AND (x.boss_row - y.boss_row) ** 2 + (x.boss_col - y.boss_col) ** 2 <= 9""",
     "spikes_in_regions": f"""WITH {_REG}, G AS (SELECT DISTINCT gt_id, sensor_row, sensor_col FROM true_spikes)
@@ -298,7 +295,8 @@ SQL = {
         SELECT unit_id, component, n = 1 OR coalesce(separability = m, false) AS keep FROM Z""",
     "spatial_blocks": f"WITH RECURSIVE {_U}, {_components(_NEAR)} SELECT * FROM CC",
     "block_sizes": f"WITH RECURSIVE {_U}, {_components(_NEAR)} SELECT component, count(*) AS units FROM CC GROUP BY 1",
-    "first_places": "SELECT neuron, arg_min(sensor_row, gt_id) AS sensor_row, arg_min(sensor_col, gt_id) AS sensor_col, count(*) AS n FROM true_spikes WHERE neuron IS NOT NULL GROUP BY neuron",
+    "first_places": r"""SELECT neuron, arg_min(sensor_row, gt_id) AS sensor_row, arg_min(sensor_col, gt_id) AS sensor_col, count(*) AS n
+        FROM (SELECT DISTINCT gt_id, lower(regexp_replace(neuron, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')) AS neuron, sensor_row, sensor_col FROM true_spikes WHERE neuron IS NOT NULL) GROUP BY neuron""",
     "result_events": f"""WITH {_S}, {_U}, N AS (SELECT *, row_number() OVER (ORDER BY roi_id, k, unit_id) AS place FROM U)
         SELECT spike_id, place, time, amplitude, boss_col AS boss_column, boss_row FROM S JOIN N USING (unit_id) WHERE time IS NOT NULL""",
     "order_rules": f"""WITH {_S}, {_U}, X AS (SELECT roi_id, x, row_number() OVER (PARTITION BY roi_id ORDER BY x DESC) AS i, count(*) OVER (PARTITION BY roi_id) AS n

@@ -118,8 +118,7 @@ QUERIES = {
 }
 
 _GRID = _X + """,
-    C AS (SELECT min(m) AS common FROM (SELECT max(frame) AS m FROM X GROUP BY channel)),
-    G AS (SELECT channel % 10 + 1 AS row, channel // 10 + 1 AS col, frame, v FROM X, C WHERE frame <= common)"""
+    G AS (SELECT channel % 10 + 1 AS row, channel // 10 + 1 AS col, frame, v FROM X)"""
 _BOX = """SELECT a.row, a.col, a.frame, sum(b.v * b.v) AS energy FROM {g} a JOIN {g} b
     ON b.row BETWEEN a.row - 1 AND a.row + 1 AND b.col BETWEEN a.col - 1 AND a.col + 1 AND b.frame BETWEEN a.frame - 1 AND a.frame + 1
     GROUP BY ALL HAVING count(*) = 27"""
@@ -147,8 +146,8 @@ SQL = {
     "dilate_mask": f"""WITH {_P}, E AS (SELECT channel, max(frame) AS total FROM X GROUP BY channel)
         SELECT DISTINCT channel, unnest(CASE WHEN frame > 2 AND frame + 2 <= total THEN range(frame - 2, frame + 3) ELSE [frame] END) AS frame FROM P JOIN E USING (channel)""",
     "lag_embed": f"""WITH {_X}, E AS (SELECT channel, max(frame) AS last FROM X GROUP BY channel)
-        SELECT x.channel, x.frame, (y.frame - x.frame)::INT AS lag, CASE WHEN x.frame > last - 3 THEN 0 ELSE y.v END AS v
-        FROM X x JOIN E USING (channel) JOIN X y ON y.channel = x.channel AND y.frame BETWEEN x.frame AND x.frame + 2""",
+        SELECT x.channel, x.frame, lag::INT AS lag, CASE WHEN x.frame > last - 3 THEN 0 ELSE y.v END AS v
+        FROM X x JOIN E USING (channel) CROSS JOIN (SELECT unnest(range(0, 3)) AS lag) LEFT JOIN X y ON y.channel = x.channel AND y.frame = x.frame + lag""",
     "snippets": f"WITH {_SNIP} SELECT * FROM W",
     "sta": f"WITH {_SNIP} SELECT channel, lag, round(avg(v), 6) AS v FROM W GROUP BY channel, lag",
     "weighted_sta": f"WITH {_SNIP} SELECT channel, lag, round(sum(v / spike) / sum(1 / spike), 6) AS v FROM W GROUP BY channel, lag",

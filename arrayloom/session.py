@@ -52,6 +52,11 @@ def tree_fan(spark: SparkSession) -> int:
     return max(32, 3 * math.isqrt(int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
+def tree_blocks(spark: SparkSession) -> int:
+    """Blocks of keys that the last step of such a merge handles side by side: at least one for each reduce task."""
+    return max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def reliable_checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage and keep partitions and their order as they are (needed where rows of a
     partition are addressed by its number). Eager; survives the loss of executors."""

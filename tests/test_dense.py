@@ -54,3 +54,10 @@ def test_dirty(spark):
     assert sorted((r.row, r.col, r.event, r.value) for r in got.collect()) == [(1, 1, 4, 2.0), (1, 1, 5, 2.0), (2, 1, 8, -1.0)]
     assert top_per_key(df.limit(0), ("row", "col"), "event", F.col("v")).collect() == []
     assert totals_per_key(df.limit(0), ("row", "col"), F.col("v")).collect() == []
+
+
+def test_infinities_are_values(spark):
+    inf = float("inf")
+    rows = [(1, 1, 1, 5.0, None), (1, 1, 2, inf, None), (1, 1, 3, -inf, None), (1, 2, 4, -inf, None), (1, 2, 5, float("nan"), None)]
+    got = top_per_key(spark.createDataFrame(rows, KIND).repartition(3), ("row", "col"), "event", F.col("v"), k=3).collect()
+    assert sorted((r.row, r.col, r.event, r.value) for r in got) == [(1, 1, 1, 5.0), (1, 1, 2, inf), (1, 1, 3, -inf), (1, 2, 4, -inf)]

@@ -51,7 +51,7 @@ def test_onset_and_dilation(spark, chunk):
 def test_embedding_and_snippets(spark):
     df = trace(spark, [1, 2, 3, 4])
     rows = {(r.frame, r.lag): r.v for r in S.lag_embed(df, BY, 2, chunk=3).collect()}
-    assert [rows[i, 0] for i in range(1, 5)] == [1, 2, 0, 0] and [rows[i, 1] for i in range(1, 4)] == [2, 3, 0]
+    assert [rows[i, 0] for i in range(1, 5)] == [1, 2, 0, 0] and [rows[i, 1] for i in range(1, 5)] == [2, 3, 0, 0]
     spikes = spark.createDataFrame([(0, 1), (0, 2), (0, 3)], "channel int, frame long")
     got = sorted((r.spike, r.lag, r.v) for r in S.snippets(df, spikes, BY, 1, 1).collect())
     assert got == [(2, -1, 1.0), (2, 0, 2.0), (2, 1, 3.0), (3, -1, 2.0), (3, 0, 3.0), (3, 1, 4.0)]
