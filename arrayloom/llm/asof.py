@@ -4,7 +4,7 @@ Records of both sides are range-partitioned together by (entity, time), so one e
 number of tasks. Each partition is scanned once in order. What a scan can't see, the last right record
 before its partition and the first one behind it, reaches it through a parallel prefix scan over one
 edge record per partition: blocks of partitions are scanned side by side, then the blocks' ends, then
-both are combined.
+both are combined. Scans read batch by batch, so a partition may be larger than a task's memory.
 """
 
 from __future__ import annotations
@@ -74,34 +74,64 @@ def _scan_edges(edges: DataFrame, partitions: int) -> DataFrame:
     )
 
 
+def _nearest(rows: pa.Table, before: dict | None, after: dict | None) -> tuple[np.ndarray, ...]:
+    """Of the left rows of a stretch in order: gap and id of the nearest right record, the place of the last right row up to
+    each, and whether it repeats the row before it. The stretch is followed by `after` and follows `before`."""
+    names = rows.column("entity").combine_chunks().dictionary_encode()
+    known = {name: i for i, name in enumerate(names.dictionary.to_pylist())}
+    code = names.indices.to_numpy()
+    time, key, side = (rows.column(c).to_numpy() for c in ("time", "id", "side"))
+    right = side == 0
+    ends = [[(known.get(e["entity"], -1), e["time"], e["id"])] if e else [(-1, np.nan, 0)] for e in (before, after)]
+    r_code, r_time, r_key = (np.concatenate([[ends[0][0][i]], x[right], [ends[1][0][i]]]) for i, x in enumerate((code, time, key)))
+    l_code, l_time, l_key = code[~right], time[~right], key[~right]
+    behind = np.cumsum(right)[~right]  # place of the last right record up to each left one, 0: the one before
+    best_gap, best_key = np.full(len(l_key), np.inf), np.zeros(len(l_key), np.int64)
+    for place in (behind, behind + 1):
+        gap = np.where(r_code[place] == l_code, np.abs(r_time[place] - l_time), np.inf)
+        take = (gap < best_gap) | ((gap == best_gap) & (gap < np.inf) & (r_key[place] < best_key))
+        best_gap, best_key = np.where(take, gap, best_gap), np.where(take, r_key[place], best_key)
+    again = np.append(False, (l_key[1:] == l_key[:-1]) & (l_time[1:] == l_time[:-1]) & (l_code[1:] == l_code[:-1]))
+    return best_gap, best_key, behind, again[: len(l_key)]
+
+
 def _scan(tolerance: float) -> Callable:
-    """Match the left records of one partition, which comes in order of (entity, time, side, id)."""
+    """Match the left records of one partition, which comes in order of (entity, time, side, id).
+
+    Batches are matched one by one. What is carried is the last right record, and the left rows behind it that a
+    right record of the next batch may still serve: those of the last entity that lie within `tolerance` of the
+    last row. So memory follows the records within one tolerance, not the partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole = pa.Table.from_batches(batches) if (batches := [b for b in batches if b.num_rows]) else None
-        if whole is None:
-            return
-        names = whole.column("entity").combine_chunks().dictionary_encode()
-        known = {name: i for i, name in enumerate(names.dictionary.to_pylist())}
-        code = names.indices.to_numpy()
-        time, key, side = (whole.column(c).to_numpy() for c in ("time", "id", "side"))
-        right = side == 0
-        before, after = (whole.column(c)[0].as_py() for c in ("before", "after"))
-        ends = [[(known.get(e["entity"], -1), e["time"], e["id"])] if e else [(-1, np.nan, 0)] for e in (before, after)]
-        r_code, r_time, r_key = (
-            np.concatenate([[ends[0][0][i]], x[right], [ends[1][0][i]]]) for i, x in enumerate((code, time, key))
-        )
-        l_code, l_time, l_key = code[~right], time[~right], key[~right]
-        behind = np.cumsum(right)[~right]  # place of the last right record up to each left one, 0: the one before
-        best_gap, best_key = np.full(len(l_key), np.inf), np.zeros(len(l_key), np.int64)
-        for place in (behind, behind + 1):
-            gap = np.where(r_code[place] == l_code, np.abs(r_time[place] - l_time), np.inf)
-            take = (gap < best_gap) | ((gap == best_gap) & (gap < np.inf) & (r_key[place] < best_key))
-            best_gap, best_key = np.where(take, gap, best_gap), np.where(take, r_key[place], best_key)
-        hit = best_gap <= tolerance
-        again = np.append(False, (l_key[1:] == l_key[:-1]) & (l_time[1:] == l_time[:-1]) & (l_code[1:] == l_code[:-1]))
-        hit &= ~again  # a repeated record counts once
-        yield pa.RecordBatch.from_arrays([pa.array(l_key[hit]), pa.array(best_key[hit])], names=["left_id", "right_id"])
+        before = after = held = None
+        begun = False
+
+        def match(rows: pa.Table, at_end: bool) -> tuple[pa.RecordBatch, pa.Table]:
+            left = rows.filter(pa.compute.equal(rows.column("side"), 1))
+            gap, found, behind, again = _nearest(rows, before, after if at_end else None)
+            done = np.ones(len(left), bool)
+            if not at_end:
+                rights = len(rows) - len(left)
+                other = pa.compute.not_equal(left.column("entity"), rows.column("entity")[-1]).to_numpy()
+                done = (behind < rights) | other | (rows.column("time")[-1].as_py() - left.column("time").to_numpy() > tolerance)
+            hit = done & (gap <= tolerance) & ~again  # a repeated record counts once
+            pairs = pa.RecordBatch.from_arrays([pa.array(left.column("id").to_numpy()[hit]), pa.array(found[hit])], names=["left_id", "right_id"])
+            return pairs, left.filter(pa.array(~done))
+
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            if not begun:
+                before, after, begun = batch.column("before")[0].as_py(), batch.column("after")[0].as_py(), True
+            rows = pa.Table.from_batches([batch.select(["entity", "time", "side", "id"])])
+            rows = rows if held is None else pa.concat_tables([held, rows])
+            pairs, held = match(rows, False)
+            yield pairs
+            rights = np.flatnonzero(rows.column("side").to_numpy() == 0)
+            if len(rights):
+                before = rows.slice(rights[-1], 1).to_pylist()[0]
+        if held is not None and len(held):
+            yield match(held, True)[0]
 
     return run
 
@@ -114,8 +144,6 @@ def nearest_in_time(
     left_id: str,
     right_id: str,
     tolerance: float,
-    rows_per_task: int = 1_000_000,
-    expected_rows: int | None = None,
 ) -> DataFrame:
     """(left_id, right_id): for each left record the right record of its entity nearest in time.
 
@@ -123,7 +151,7 @@ def nearest_in_time(
     right record may serve several left ones. Null entities, null ids and null or NaN times take no part
     on either side; repeated left records give one row; left records without a partner give none. Empty
     tables give no rows. Both tables need the columns `entity` and `time`; other columns are ignored.
-    A left id that occurs with several times or entities is matched once for each of them.
+    A left id that occurs with several times or entities is matched once for each of them. Runs a job while it is called.
     """
 
     def clean(df: DataFrame, key: str, side: int) -> DataFrame:
@@ -136,8 +164,6 @@ def nearest_in_time(
     both = one.unionByName(clean(left, left_id, 1))
     spark = left.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    if expected_rows:
-        tasks = max(tasks, -(-expected_rows // rows_per_task))
     order = ["entity", "time", "side", "id"]
     ranged = reliable_checkpoint(both.repartitionByRange(tasks, *order).sortWithinPartitions(*order))
     edges = ranged.mapInArrow(_edges, _EDGE)

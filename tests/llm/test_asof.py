@@ -53,3 +53,17 @@ def test_dirty(spark):
 def test_label_key(spark):
     df = spark.createDataFrame([("N1\t",), ("  n1",), (None,)], "x string").select(label_key(F.col("x")).alias("k"))
     assert [r.k for r in df.collect()] == ["n1", "n1", None]
+
+
+def test_a_partition_in_many_batches(spark):
+    """Carried right records and held left rows give the same pairs whatever the size of a batch."""
+    rng = random.Random(9)
+    left = [(i, rng.choice("ab"), round(rng.random() * 30, 2), None) for i in range(300)] + [(1000 + i, "c", 5.0, None) for i in range(40)] + [(7, "a", 3.0, None)] * 9
+    right = [(i, rng.choice("abd"), round(rng.random() * 30, 1), 1) for i in range(60)] + [(900, "c", 5.25, 1), (901, "c", 4.75, 1)]
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size in (1, 7, 50):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            assert run(spark, left, right, tasks=2) == brute(left, right, 0.5)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
