@@ -4,6 +4,10 @@ Both sides are cut into words; of every WINDOW successive hashes of K words the
 rightmost of equals). Two texts that share WINDOW + K - 1 words in a row keep at least one hash in
 common. Hits are joined, then extended word by word to both sides; a pair counts if an extended hit is
 long enough.
+
+The corpus is read once and never shuffled: a bit map of the items' fingerprints, of at most 16 MB whatever their
+number, goes to every task, which drops the corpus fingerprints that it lacks. Only texts with one that it has
+leave the task, as 64-bit hashes of their words, which the extension compares.
 """
 
 from __future__ import annotations
@@ -15,9 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arrayloom.session import write_through
+from arrayloom.operators.joins import spread_join
+from arrayloom.session import tree_fan, write_through
 
 K = 5
+#: The map has about this many bits for each of the items' fingerprints, so one in as many others passes it, but never more
+#: than 2 ** MOST_BITS bits.
+BITS_EACH = 64
+MOST_BITS = 27
 #: The entities that are decoded.
 ENTITIES = {"&amp;": "&", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " "}
 
@@ -60,67 +69,96 @@ def winnow(hashes: np.ndarray, k: int, window: int) -> tuple[np.ndarray, np.ndar
     return places, grams[places]
 
 
-def _fingerprints(k: int, window: int) -> Callable:
+def _places(marks: np.ndarray, size: int) -> np.ndarray:
+    """Places of fingerprints in a bit map of a power of two bytes."""
+    return (marks >> np.uint64(61 - size.bit_length() + 1)).astype(np.int64)
+
+
+def _hashed(k: int, window: int, bits=None) -> Callable:
+    """Rows (key, words, places, marks) of texts: word hashes and fingerprints. With the bit map `bits`, only the
+    fingerprints in it, and only texts that have any."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
+        there = None if bits is None else np.frombuffer(bits.value, np.uint8)
         for batch in batches:
-            rows, places, marks = [], [], []
+            rows, out = [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
                 if len(known) > 1_000_000:
                     known.clear()
-                at, found = winnow(_hashes(words_of(text), known), k, window)
-                rows.append(np.full(len(at), i))
-                places.append(at)
-                marks.append(found)
-            if rows:
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).take(pa.array(np.concatenate(rows).astype(np.int64))),
-                        pa.array(np.concatenate(places).astype(np.int32)),
-                        pa.array(np.concatenate(marks).view(np.int64)),
-                    ],
-                    names=["key", "place", "mark"],
-                )
+                words = _hashes(words_of(text), known)
+                at, found = winnow(words, k, window)
+                if there is not None:
+                    slot = _places(found, len(there))
+                    hit = there[slot >> 3] >> (slot & 7) & 1 == 1
+                    at, found = at[hit], found[hit]
+                if len(at):
+                    rows.append(i)
+                    out.append((words.view(np.int64), at.astype(np.int32), found.view(np.int64)))
+            lists = [pa.array([o[c] for o in out], pa.list_(t)) for c, t in enumerate((pa.int64(), pa.int32(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *lists], names=["key", "words", "places", "marks"])
 
     return run
 
 
-def fingerprints(df: DataFrame, key: str, text: str, k: int, window: int) -> DataFrame:
-    """(key, place, mark): the winnowed fingerprints of each text; null texts give none."""
+def hashed_texts(df: DataFrame, key: str, text: str, k: int, window: int, bits=None) -> DataFrame:
+    """(row, key, words, marks): a number, the word hashes and the winnowed fingerprints (mark, place) of each text that has
+    any; null keys and texts have none. Written, as the numbers must not change."""
     rows = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).filter("key IS NOT NULL AND text IS NOT NULL")
     kind = rows.schema["key"].dataType.simpleString()
-    return rows.mapInArrow(_fingerprints(k, window), f"key {kind}, place int, mark bigint")
+    out = rows.mapInArrow(_hashed(k, window, bits), f"key {kind}, words array<bigint>, places array<int>, marks array<bigint>")
+    marks = F.arrays_zip(F.col("marks").alias("mark"), F.col("places").alias("place"))
+    return write_through(out.select(F.monotonically_increasing_id().alias("row"), "key", "words", marks.alias("marks")))
+
+
+def bit_map(items: DataFrame) -> bytes:
+    """The bit map of the fingerprints of hashed texts: maps of the tasks, put together in two steps."""
+    number = items.agg(F.coalesce(F.sum(F.size("marks")), F.lit(0))).first()[0]
+    size = 1 << min(MOST_BITS, max(16, (number * BITS_EACH).bit_length())) - 3
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        there = np.zeros(size, np.uint8)
+        for batch in batches:
+            slot = _places(batch.column(0).to_numpy().view(np.uint64), size)
+            np.bitwise_or.at(there, slot >> 3, (1 << (slot & 7)).astype(np.uint8))
+        yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "bits": [there.tobytes()]})
+
+    def unite(maps: pa.Table) -> pa.Table:
+        both = np.bitwise_or.reduce([np.frombuffer(m.as_buffer(), np.uint8) for m in maps.column("bits")])
+        return pa.table({"part": pa.array([0], pa.int32()), "bits": [both.tobytes()]})
+
+    maps = items.select(F.explode("marks.mark").alias("mark")).mapInArrow(fill, "part int, bits binary")
+    some = maps.withColumn("part", F.pmod("part", F.lit(tree_fan(items.sparkSession)))).groupBy("part").applyInArrow(unite, "part int, bits binary")
+    found = some.groupBy("part").applyInArrow(unite, "part int, bits binary").first()  # one row of at most 16 MB
+    return bytes(found.bits) if found else bytes(size)
 
 
 def _extend(least: int) -> Callable:
+    def longest(a: np.ndarray, b: np.ndarray, hits: list[tuple[int, int]]) -> int:
+        best, done = 0, {}
+        for x, y in hits:
+            if done.get(x - y, -1) > x:  # inside a span that is known
+                continue
+            n = min(x, y)
+            differs = np.flatnonzero(a[x - n : x] != b[y - n : y])
+            i = n - 1 - differs[-1] if len(differs) else n
+            n = min(len(a) - x, len(b) - y)
+            differs = np.flatnonzero(a[x : x + n] != b[y : y + n])
+            j = differs[0] if len(differs) else n
+            done[x - y] = x + j
+            best = max(best, int(i + j) if j else 0)
+        return best
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = ["doc", "item", "longest"]
-            longest, cached = [], {}
-            for row in batch.select(["doc_text", "item_text", "hits"]).to_pylist():
-                texts = []
-                for t in (row["doc_text"], row["item_text"]):
-                    if t not in cached:
-                        if len(cached) > 200:
-                            cached.clear()
-                        cached[t] = words_of(t)
-                    texts.append(cached[t])
-                a, b = texts
-                best, done = 0, {}
-                for hit in sorted((h["x"], h["y"]) for h in row["hits"]):
-                    x, y = hit
-                    if done.get(x - y, -1) > x:  # inside a span that is known
-                        continue
-                    i = 0
-                    while x - i > 0 and y - i > 0 and a[x - i - 1] == b[y - i - 1]:
-                        i += 1
-                    j = 0
-                    while x + j < len(a) and y + j < len(b) and a[x + j] == b[y + j]:
-                        j += 1
-                    done[x - y] = x + j
-                    best = max(best, i + j if j else 0)
-                longest.append(best)
-            out = pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("item"), pa.array(longest, pa.int32())], names=names)
+            found = []
+            words = [batch.column(c) for c in ("doc_words", "item_words")]
+            for i, hits in enumerate(batch.column("hits").to_pylist()):
+                a, b = (w[i].values.to_numpy() for w in words)
+                found.append(longest(a, b, sorted((h["x"], h["y"]) for h in hits)))
+            out = pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("item"), pa.array(found, pa.int32())], names=["doc", "item", "longest"])
             yield out.filter(pa.compute.greater_equal(out.column("longest"), least))
 
     return run
@@ -132,17 +170,19 @@ def leaks(corpus: DataFrame, doc: str, items: DataFrame, item: str, text: str =
 
     Null keys and null texts take no part, texts of fewer than `least` words have no such run. Repeated
     rows of a key give one row; a key with several texts counts if any of them holds a run. Both tables
-    need the column `text`; other columns are ignored. Hits are grouped by pair of texts, so their number
-    is bounded by the fingerprints of the two.
+    need the column `text`; other columns are ignored. Words are compared by 64-bit hashes. Hits are grouped by
+    pair of texts, so their number is bounded by the fingerprints of the two. Runs jobs while it is called.
     """
     window = least - k + 1
-    seen = fingerprints(items, item, text, k, window).select(F.col("key").alias("item"), F.col("place").alias("y"), "mark")
-    there = fingerprints(corpus, doc, text, k, window).select(F.col("key").alias("doc"), F.col("place").alias("x"), "mark")
-    hits = there.join(seen, "mark").groupBy("doc", "item").agg(F.collect_set(F.struct("x", "y")).alias("hits"))
-    hits = write_through(hits)
-    a = corpus.select(F.col(doc).alias("doc"), F.col(text).cast("string").alias("doc_text")).filter("doc_text IS NOT NULL")
-    b = items.select(F.col(item).alias("item"), F.col(text).cast("string").alias("item_text")).filter("item_text IS NOT NULL")
-    both = hits.join(b, "item").join(a, "doc").select("doc", "item", "doc_text", "item_text", "hits")
+    known = hashed_texts(items, item, text, k, window)
+    bits = corpus.sparkSession.sparkContext.broadcast(bit_map(known))
+    there = hashed_texts(corpus, doc, text, k, window, bits)
+    seen = known.select(F.col("row").alias("item_row"), F.explode("marks").alias("m")).select("item_row", F.col("m.place").alias("y"), "m.mark")
+    marks = there.select("row", F.explode("marks").alias("m")).select("row", F.col("m.place").alias("x"), "m.mark")
+    hits = spread_join(marks, seen, ["mark"], "row").groupBy("row", "item_row").agg(F.collect_set(F.struct("x", "y")).alias("hits"))
+    a = there.select("row", F.col("key").alias("doc"), F.col("words").alias("doc_words"))
+    b = known.select(F.col("row").alias("item_row"), F.col("key").alias("item"), F.col("words").alias("item_words"))
+    both = spread_join(hits.join(a, "row"), b, ["item_row"], "row").select("doc", "item", "doc_words", "item_words", "hits")
     kinds = ", ".join(f"{c} {both.schema[c].dataType.simpleString()}" for c in ("doc", "item"))
     found = both.mapInArrow(_extend(least), f"{kinds}, longest int")
     return found.groupBy(F.col("doc").alias(doc), F.col("item").alias(item)).agg(F.max("longest").alias("longest"))

@@ -44,3 +44,18 @@ def test_dirty(spark):
     docs = [(1, None), (2, ""), (3, long), (3, long), (None, long), (4, "x " * 30 + long.upper() + " y" * 20000)]
     assert run(spark, docs, [(1, long), (1, long), (2, None), (None, long), (3, "short")]) == [(3, 1), (4, 1)]
     assert run(spark, [], [(1, long)]) == [] and run(spark, docs, []) == []
+
+
+def test_the_corpus_is_not_shuffled(spark, monkeypatch):
+    """Only the word hashes of texts with a known fingerprint leave a task: no exchange holds a text."""
+    from arrayloom.llm import leakage
+
+    written = []
+    keep = leakage.write_through
+    monkeypatch.setattr(leakage, "write_through", lambda df: written.append(df._jdf.queryExecution().executedPlan().toString()) or keep(df))
+    long = " ".join(f"w{i}" for i in range(15))
+    docs = spark.createDataFrame([(i, long if i % 50 == 0 else f"other words {i} " * 9) for i in range(200)], "doc_id long, text string")
+    found = leaks(docs, "doc_id", spark.createDataFrame([(1, long)], "item_id int, text string"), "item_id")
+    assert len(written) == 2 and not any("Exchange" in plan for plan in written)
+    assert "text" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.doc_id, r.longest) for r in found.collect()) == [(i, 15) for i in range(0, 200, 50)]
