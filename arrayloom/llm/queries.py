@@ -9,12 +9,17 @@ from arrayloom.llm.asof import label_key, nearest_in_time
 from arrayloom.llm.bpe import encode_texts
 from arrayloom.llm.components import groups
 from arrayloom.llm.leakage import leaks
-from arrayloom.llm.quantiles import merge_sketches, quantiles, sketches
+from arrayloom.llm.quantiles import quantiles, sketches
 from arrayloom.llm.spectral import most_typical, similarity_clusters
 from arrayloom.llm.stuffing import stuffed_pages
+from arrayloom.operators.joins import spread_join
+from arrayloom.session import write_through
 from arrayloom.sources.tables import table
 
 
+_ASKED = [0.1, 0.25, 0.5, 0.75, 0.9, 0.99]
+
+
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     units = table(spark, folder, "units").select("unit_id", label_key(F.col("neuron")).alias("neuron"))
     units = units.filter("neuron IS NOT NULL").distinct()
@@ -45,11 +50,13 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return found.join(units.select("unit_id").distinct(), "unit_id", "left_semi")
 
 
-def _amplitudes(spark: SparkSession, folder: str, q: list[float]) -> DataFrame:
+def _sizes(spark: SparkSession, folder: str) -> DataFrame:
     events = table(spark, folder, "basic_events")
-    once = events.select("event_id", "boss_row", "boss_column", F.abs("amplitude").alias("size")).distinct()
-    parts = sketches(once, ("boss_row", "boss_column"), F.col("size"))
-    return quantiles(merge_sketches(parts), ("boss_row", "boss_column"), q)
+    return events.select("event_id", "boss_row", "boss_column", F.abs("amplitude").alias("size")).distinct()
+
+
+def _amplitudes(spark: SparkSession, folder: str, q: list[float]) -> DataFrame:
+    return quantiles(sketches(_sizes(spark, folder), ("boss_row", "boss_column"), F.col("size")), ("boss_row", "boss_column"), q)
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -59,7 +66,23 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p6_percentiles(spark: SparkSession, folder: str) -> DataFrame:
     """Percentiles of |amplitude| per boss sensor, with the number of events (approximate values)."""
-    return _amplitudes(spark, folder, [0.1, 0.25, 0.5, 0.75, 0.9, 0.99])
+    return _amplitudes(spark, folder, _ASKED)
+
+
+def p6_within(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether the ranks of each sensor's percentiles, counted over all of its events, are within 2 % of those asked for."""
+    by = ["boss_row", "boss_column"]
+    asked = F.explode(F.arrays_zip(F.col("quantiles").alias("q"), F.array(*map(F.lit, _ASKED)).alias("f"))).alias("a")
+    found = write_through(p6_percentiles(spark, folder)).select(*by, "n", asked).select(*by, "n", "a.f", "a.q")
+    # one part in 2 ** 11 of a value is the width of its cell
+    low, high = F.col("q") * (1 - 2.0**-11), F.col("q") * (1 + 2.0**-11)
+    sizes = _sizes(spark, folder).filter("size IS NOT NULL AND NOT isnan(size)")
+    ranks = spread_join(sizes, found, by, "event_id").groupBy(*by, "f", "n").agg(
+        F.sum((F.col("size") < low).cast("long")).alias("below"), F.sum((F.col("size") <= high).cast("long")).alias("upto")
+    )
+    share = 0.02 * F.col("n") + 1  # a rank is a whole number
+    fits = (F.col("below") <= F.col("f") * (F.col("n") - 1) + share) & (F.col("upto") >= F.col("f") * (F.col("n") - 1) - share)
+    return ranks.groupBy(*by, "n").agg(F.every(fits).alias("within"))
 
 
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
@@ -82,6 +105,7 @@ QUERIES = {
     "p5_found": p5_found,
     "p6_found": p6_found,
     "p6_percentiles": p6_percentiles,
+    "p6_within": p6_within,
     "p7_ids": p7_ids,
     "p8_found": p8_found,
     "p9_found": p9_found,
@@ -120,6 +144,9 @@ SQL = {
         both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
         reach AS (SELECT DISTINCT unit_id AS a, unit_id AS b FROM units UNION SELECT r.a, n.b FROM reach r JOIN both_ways n ON r.b = n.a)
         SELECT a AS unit_id, min(b) AS group_id FROM reach GROUP BY a""",
+    "p6_within": """
+        SELECT boss_row, boss_column, count(*) AS n, true AS within FROM (SELECT DISTINCT event_id, boss_row, boss_column, amplitude FROM basic_events
+            WHERE boss_row IS NOT NULL AND boss_column IS NOT NULL AND amplitude IS NOT NULL AND NOT isnan(amplitude)) GROUP BY boss_row, boss_column""",
     "p6_found": """
         SELECT boss_row, boss_column
         FROM (SELECT DISTINCT event_id, boss_row, boss_column, amplitude FROM basic_events

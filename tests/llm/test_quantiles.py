@@ -27,6 +27,7 @@ def test_error_bound(spark):
     values.sort()
     ranks = np.searchsorted(values, row.quantiles) / len(values)
     assert row.n == len(values) and np.abs(ranks - ask).max() < 0.01
+    assert np.abs(ranks - ask).max() <= row.rank_error < 0.03
 
 
 def test_merge_and_delete(spark):
@@ -44,3 +45,27 @@ def test_dirty_and_small(spark):
     assert [(r.a, r.b, r.n, r.quantiles) for r in out] == [(2, 3, 3, [-4.0, -2.0, 0.0, 8.0])]
     empty = spark.createDataFrame([], KIND)
     assert Q.quantiles(Q.merge_sketches(Q.sketches(empty, ("a", "b"), F.col("v"))), ("a", "b"), [0.5]).collect() == []
+
+
+def test_width_for_an_error(spark):
+    """A wider sketch keeps the error that was asked for, and says so."""
+    rng = np.random.default_rng(3)
+    values = np.r_[rng.normal(100, 1, 40_000), rng.gamma(2, 40, 20_000)]
+    width = Q.width_for(0.004, 0.05)
+    df = spark.createDataFrame([(1, 2, float(v), None) for v in values], KIND).repartition(4)
+    parts = Q.sketches(df, ("a", "b"), F.col("v"), width=width)
+    row = Q.quantiles(Q.merge_sketches(parts, width), ("a", "b"), [0.05, 0.5, 0.95], width).collect()[0]
+    values.sort()
+    low, high = (np.searchsorted(values, np.array(row.quantiles) * (1 + s * 2.0**-11), side) / len(values) for s, side in ((-1, "left"), (1, "right")))
+    ask = np.array([0.05, 0.5, 0.95])
+    assert width > Q.WIDTH and row.rank_error <= 0.01 and (low <= ask + row.rank_error).all() and (high >= ask - row.rank_error).all()
+
+
+def test_many_keys_in_few_tasks(spark, monkeypatch):
+    """More sketches than a task may hold are handed on early; results stay the same."""
+    monkeypatch.setattr(Q, "HELD_BYTES", 1 << 16)
+    monkeypatch.setattr(Q, "OUT_BYTES", 1 << 14)
+    rows = [(k, -k, float(i), None) for k in range(300) for i in range(40)]
+    parts = Q.sketches(spark.createDataFrame(rows, KIND).repartition(2), ("a", "b"), F.col("v"))
+    got = {(r.a, r.b): (r.n, r.quantiles) for r in Q.quantiles(parts, ("a", "b"), [0.0, 1.0]).collect()}
+    assert got == {(k, -k): (40, [0.0, 39.0]) for k in range(300)}
