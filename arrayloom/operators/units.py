@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from arrayloom.operators.components import connected_components
+from arrayloom.operators.joins import band_pairs, pairs_within
+from arrayloom.session import write_through
+
 
 def boss_sensors(templates: DataFrame) -> DataFrame:
     """(unit_id, boss_row, boss_col, lag, extremum): the sensor and lag of largest |v|; ties to the first in
@@ -62,19 +66,78 @@ def best_lag(spikes: DataFrame, pairs: DataFrame, bin_ms: float, most: int) -> D
 
 
 def coincidence_fractions(spikes: DataFrame, pairs: DataFrame, jitter: float) -> DataFrame:
-    """(a, b, n, frac_a, frac_b): spikes of a with exactly one spike of b within `jitter`, and their share of both."""
+    """(a, b, n, frac_a, frac_b): spikes of a with exactly one spike of b within `jitter`, and their share of both. If the
+    pairs have a column `shift`, b's spikes are moved by it first (see best_lag); null is none."""
     once = spikes.filter("time IS NOT NULL AND NOT isnan(time)").select("spike_id", "unit_id", "time").distinct()
     size = once.groupBy("unit_id").agg(F.count("*").alias("n"))
-    wanted = pairs.select("a", "b").distinct()
-    left = wanted.join(once.select(F.col("unit_id").alias("a"), F.col("spike_id").alias("sa"), F.col("time").alias("ta")), "a")
+    shifted = "shift" in pairs.columns
+    wanted = pairs.select("a", "b", *([F.coalesce("shift", F.lit(0.0)).alias("shift")] if shifted else [])).distinct()
+    left = wanted.select("a", "b").join(once.select(F.col("unit_id").alias("a"), F.col("spike_id").alias("sa"), F.col("time").alias("ta")), "a")
     left = left.withColumn("bucket", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda o: F.floor(F.col("ta") / jitter) + o)))
-    right = once.select(F.col("unit_id").alias("b"), F.col("time").alias("tb"), F.floor(F.col("time") / jitter).alias("bucket"))
-    near = left.join(right, ["b", "bucket"]).filter(F.abs(F.col("ta") - F.col("tb")) <= jitter)
+    right = once.select(F.col("unit_id").alias("b"), F.col("time").alias("tb"))
+    if shifted:
+        right = wanted.join(right, "b").select("a", "b", (F.col("tb") + F.col("shift")).alias("tb"))
+    right = right.withColumn("bucket", F.floor(F.col("tb") / jitter))
+    near = left.join(right, ["a", "b", "bucket"] if shifted else ["b", "bucket"]).filter(F.abs(F.col("ta") - F.col("tb")) <= jitter)
     one = near.groupBy("a", "b", "sa").agg(F.count("*").alias("k")).filter("k = 1").groupBy("a", "b").agg(F.count("*").alias("n"))
     sized = one.join(size.select(F.col("unit_id").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("unit_id").alias("b"), F.col("n").alias("nb")), "b")
     return sized.select("a", "b", "n", (F.col("n") / F.col("na")).alias("frac_a"), (F.col("n") / F.col("nb")).alias("frac_b"))
 
 
+def shifted_coincidences(spikes: DataFrame, pairs: DataFrame, bin_ms: float, most: int, jitter: float) -> DataFrame:
+    """(a, b, lag, n, frac_a, frac_b): coincidence_fractions after each b is moved by the lag at which most of its spikes
+    meet those of a (0 where none do)."""
+    lags = write_through(pairs.select("a", "b").distinct().join(best_lag(spikes, pairs, bin_ms, most).select("a", "b", "lag"), ["a", "b"], "left").fillna(0, ["lag"]))
+    found = coincidence_fractions(spikes, lags.withColumn("shift", F.col("lag") * bin_ms), jitter)
+    return found.join(lags, ["a", "b"]).select("a", "b", "lag", "n", "frac_a", "frac_b")
+
+
+def redundancy_groups(units: DataFrame, spikes: DataFrame, templates: DataFrame, row: str, col: str, distance: float, bin_ms: float, most: int, jitter: float, least_coincidence: float, least_similarity: float) -> DataFrame:
+    """(unit_id, block, component): units that are the same neuron. Blocks are units linked by steps of at most `distance`;
+    inside a block two units are one if both share at least `least_coincidence` of their spikes after the best shift
+    (see shifted_coincidences), and their templates are alike. Only pairs with a spike in common within the largest shift
+    and the jitter are compared; others share none. Runs jobs while it is called."""
+    places = units.select("unit_id", row, col).distinct()
+    blocks = connected_components(pairs_within(places, "unit_id", row, col, distance), "a", "b", places, "unit_id")
+    blocks = write_through(blocks.withColumnRenamed("component", "block"))
+    once = spikes.filter("time IS NOT NULL AND NOT isnan(time)").select("spike_id", "unit_id", "time").distinct()
+    mine = once.join(blocks, "unit_id")
+    a, b = (mine.select("block", F.col("unit_id").alias(s), F.col("time").alias(f"t{s}")) for s in "ab")
+    pairs = write_through(band_pairs(a, b, ["block"], "ta", "tb", (most + 1) * bin_ms + jitter).filter("a < b").select("a", "b").distinct())
+    shared = shifted_coincidences(spikes, pairs, bin_ms, most, jitter).filter((F.col("frac_a") >= least_coincidence) & (F.col("frac_b") >= least_coincidence))
+    alike = template_similarity(templates, shared).filter(F.col("cosine") >= least_similarity)
+    return connected_components(alike, "a", "b", blocks, "unit_id").join(blocks, "unit_id").select("unit_id", "block", "component")
+
+
+def rethreshold(peaks: DataFrame, thresholds: DataFrame, by: list[str]) -> DataFrame:
+    """(by, n, mean_amp, amplitude_sd, rstd, separability) of units whose threshold has been moved: spikes are the peaks
+    (by, amplitude) at or below `threshold` (by, threshold, noise_std); separability is the distance of their mean
+    |amplitude| from that of the other peaks, from 0 where there are none, over the noise. Units without a spike left give
+    no row; null and NaN amplitudes take no part."""
+    known = peaks.filter("amplitude IS NOT NULL AND NOT isnan(amplitude)").join(thresholds.select(*by, "threshold", "noise_std"), by)
+    valid = F.col("amplitude") <= F.col("threshold")
+    mine, size = F.when(valid, F.col("amplitude")), F.abs("amplitude")
+    out = known.groupBy(*by).agg(
+        F.count(mine).alias("n"), F.avg(F.abs(mine)).alias("mean_amp"), F.coalesce(F.stddev_samp(mine), F.lit(0.0)).alias("amplitude_sd"),
+        F.coalesce(F.avg(F.when(~valid, size)), F.lit(0.0)).alias("_other"), F.first("noise_std").alias("_noise"),
+    ).filter("n > 0")
+    out = out.withColumn("rstd", F.try_divide("amplitude_sd", "mean_amp")).withColumn("separability", F.try_divide(F.col("mean_amp") - F.col("_other"), F.col("_noise")))
+    return out.drop("_other", "_noise")
+
+
+def backfill(units: DataFrame, computed: DataFrame, by: list[str], features: list[str]) -> DataFrame:
+    """Units with null or NaN features taken from `computed` (by and the same names); what that lacks stays missing."""
+    new = computed.select(*by, *[F.col(c).alias(f"_{c}") for c in features])
+    filled = {c: F.coalesce(F.when(~F.isnan(c), F.col(c)), F.col(f"_{c}"), F.col(c)) for c in features}
+    return units.join(new, by, "left").withColumns(filled).select(*units.columns)
+
+
+def ordered_units(units: DataFrame, by: list[str], feature: str, descending: bool = True, key: str = "unit_id") -> DataFrame:
+    """Adds rank in each group by a feature; NaN ranks as the largest number, nulls come last, ties in order of the key."""
+    order = F.desc_nulls_last(feature) if descending else F.asc_nulls_last(feature)
+    return units.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(order, key)))
+
+
 def keep_best(units: DataFrame, group: str, score: str) -> DataFrame:
     """Adds keep: whether a unit's score equals the best of its group; ties all stay, null and NaN lose to numbers."""
     known = F.when(~F.isnan(score), F.col(score))

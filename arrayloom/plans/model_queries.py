@@ -10,8 +10,9 @@ from arrayloom.operators import decompose as D
 from arrayloom.operators import density as N
 from arrayloom.operators.agglomerate import agglomerate
 from arrayloom.operators.joins import pairs_within
-from arrayloom.plans.relation_queries import _sets
+from arrayloom.plans.relation_queries import _sets, _units
 from arrayloom.plans.trace_queries import BY, _X, traces
+from arrayloom.session import write_through
 from arrayloom.sources.tables import table
 from arrayloom.streaming.counts import once, run_to_table
 
@@ -87,10 +88,19 @@ def amplitude_mixtures(spark, folder):
     return N.mixtures(_spikes(spark, folder), ["unit_id"], "amplitude")
 
 
-def winning_clusters(spark, folder):
+def _assigned(spark, folder):
+    """Each spike with its amplitude cluster; written, as several passes read it."""
     spikes = _spikes(spark, folder)
-    models = N.mixtures(spikes, ["unit_id"], "amplitude")
-    return N.winners(N.assign(spikes, models, ["unit_id"], "amplitude", "spike_id"), ["unit_id"], "amplitude")
+    return write_through(N.assign(spikes, N.mixtures(spikes, ["unit_id"], "amplitude"), ["unit_id"], "amplitude", "spike_id"))
+
+
+def winning_clusters(spark, folder):
+    """The winning amplitude cluster of each unit, with its quality."""
+    return N.winners(_assigned(spark, folder), ["unit_id"], "amplitude", _units(spark, folder))
+
+
+def cluster_isolation(spark, folder):
+    return N.winner_isolation(_assigned(spark, folder), ["unit_id"], "amplitude")
 
 
 def greedy_regions(spark, folder):
@@ -119,6 +129,7 @@ QUERIES = {
     "threshold_isolation": threshold_isolation,
     "amplitude_mixtures": amplitude_mixtures,
     "winning_clusters": winning_clusters,
+    "cluster_isolation": cluster_isolation,
     "greedy_regions": greedy_regions,
     "stream_once": stream_once,
 }

@@ -76,6 +76,36 @@ def test_mixture(spark):
     m = N.mixtures(df, ["u"], "x")
     got = sorted((round(r["mean"]), round(r.weight, 2)) for r in m.collect())
     assert len(got) == 2 and abs(got[0][0] + 200) <= 2 and abs(got[1][0] + 90) <= 2
-    w = N.winners(N.assign(df, m, ["u"], "x", "id"), ["u"], "x").collect()[0]
-    assert w.components == 2 and w.n in (300, 800)
+    noise = spark.createDataFrame([(1, 10.0)], "u int, noise_std double")
+    w = N.winners(N.assign(df, m, ["u"], "x", "id"), ["u"], "x", noise).collect()[0]
+    # the larger cluster is tight (5 of 200), so it takes the other one in
+    assert w.components == 1 and w.n == 800 and abs(w.separability - w.mean_amp / 10) < 1e-9
     assert N.mixtures(df.limit(0), ["u"], "x").collect() == [] and df.filter(F.col("x") > 0).count() == 0
+
+
+def test_mixture_of_many_components_and_an_outlier(spark):
+    rng = np.random.default_rng(5)
+    means = [-20 * (k + 1) for k in range(9)]
+    v = np.r_[np.concatenate([rng.normal(m, 1, 200) for m in means]), -1e6]
+    df = spark.createDataFrame([(1, i, float(x)) for i, x in enumerate(v)], "u int, id int, x double")
+    got = sorted(r["mean"] for r in N.mixtures(df, ["u"], "x").collect() if r.weight > 0.05)
+    assert len(got) == 9 and np.abs(np.array(got) - sorted(means)).max() < 1
+
+
+def test_roles_and_isolation(spark):
+    nan = None
+    rows = [(1, c, float(v)) for c, vs in {0: (-50, -60, -40), 1: (-30, -31, -29), 2: (-10, -11)}.items() for v in vs]
+    rows += [(2, c, float(v)) for c, vs in {0: (-100, -101, -99), 1: (-50, -60), 2: (-9, -9)}.items() for v in vs]
+    rows += [(3, 0, -5.0), (4, 0, -20.0), (4, 0, -30.0), (4, 1, -40.0), (4, 1, -60.0)]
+    df = spark.createDataFrame(rows, "u int, component int, x double")
+    role = lambda **k: {(r.u, r.component): r.role for r in N.roles(df, ["u"], "x", **k).collect()}
+    assert role() == {(1, 0): "winner", (1, 1): "nearest", (1, 2): "other", (2, 0): "winner", (2, 1): "winner", (2, 2): "nearest", (3, 0): "winner", (4, 1): "winner", (4, 0): "nearest"}
+    # by waveform the smaller amplitudes win, so the larger ones are taken in
+    scores = spark.createDataFrame([(4, 0, 9.0), (4, 1, 5.0)], "u int, component int, score double")
+    assert role(scores=scores) == {(4, 0): "winner", (4, 1): "winner"}
+    noise = spark.createDataFrame([(u, 2.0) for u in range(1, 5)], "u int, noise_std double")
+    w = {r.u: r for r in N.winners(df, ["u"], "x", noise).collect()}
+    assert (w[1].n, w[1].separability, w[1].components) == (3, 10.0, 3) and (w[2].n, w[2].components) == (5, 2)
+    assert w[3].separability == 2.5 and w[3].amplitude_sd == 0 and w[4].separability == 12.5
+    iso = {r.u: (r.iso_nn, r.iso_bg) for r in N.winner_isolation(df, ["u"], "x").collect()}
+    assert iso[3] == (nan, nan) and iso[1][0] > 0 and iso[4][0] == iso[4][1]
