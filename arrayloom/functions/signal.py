@@ -6,6 +6,8 @@ length is spread over tasks.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -204,3 +206,14 @@ def whitening_weights(model: list[float], tolerance: float = 1e-9, most: int = 5
     if len(h) == most:
         raise ValueError("the recursion doesn't decay: its model isn't stable")
     return h
+
+
+def least_peaks(seconds: float, frames: float, times_sigma: float, rate: float = 5.0) -> float:
+    """Peaks that a component needs: `rate` a second, and those that noise alone gives beyond the threshold."""
+    return rate * seconds + 0.5 * math.erfc(times_sigma / math.sqrt(2)) * frames
+
+
+def template_snr(templates: DataFrame, sigma: DataFrame, by: list[str]) -> DataFrame:
+    """(by, snr): the largest |v| of a template (by, lag, v) over the noise of the trace at its sensor (by, sigma)."""
+    top = templates.groupBy(*by).agg(F.max(F.abs("v")).alias("_top"))
+    return top.join(sigma.select(*by, "sigma"), by).select(*by, F.try_divide("_top", "sigma").alias("snr"))

@@ -134,12 +134,36 @@ def in_boxes(points: DataFrame, row: str, col: str, boxes: DataFrame, size: int
     return own.join(tiles, ["_tr", "_tc"]).filter(inside).drop("_tr", "_tc")
 
 
-def equal_sets(sets: DataFrame, others: DataFrame, key: str, member: str) -> DataFrame:
-    """(a, b): sets of the two tables with the same distinct members. Sets are compared as sorted arrays, so one
-    set must fit a row."""
+def _signed(sets: DataFrame, key: str, member: str) -> DataFrame:
+    """(k, n, s1, s2): the number of distinct members of each set and two sums of their hashes, in any order."""
+    known = sets.select(F.col(key).alias("k"), F.col(member).alias("m")).filter("k IS NOT NULL AND m IS NOT NULL").distinct()
+    sums = [F.sum(F.xxhash64("m", F.lit(i)).cast("decimal(20,0)")).alias(f"s{i}") for i in (1, 2)]
+    return known.groupBy("k").agg(F.count("*").alias("n"), *sums)
 
-    def packed(df: DataFrame, name: str) -> DataFrame:
-        known = df.filter(F.col(key).isNotNull() & F.col(member).isNotNull())
-        return known.groupBy(F.col(key).alias(name)).agg(F.array_sort(F.collect_set(member)).alias("_set"))
 
-    return packed(sets, "a").join(packed(others, "b"), "_set").select("a", "b")
+def equal_sets(sets: DataFrame, others: DataFrame, key: str, member: str) -> DataFrame:
+    """(a, b): sets of the two tables with the same distinct members, by number and two 64-bit hash sums of the members; so
+    no set has to fit a row or a task. Empty sets aren't there."""
+    a, b = _signed(sets, key, member).withColumnRenamed("k", "a"), _signed(others, key, member).withColumnRenamed("k", "b")
+    return a.join(b, ["n", "s1", "s2"]).select("a", "b")
+
+
+def set_classes(sets: DataFrame, key: str, member: str) -> DataFrame:
+    """(key, class, n): the smallest key of all sets with the same distinct members (see equal_sets), and their number."""
+    signed = _signed(sets, key, member)
+    first = signed.groupBy("n", "s1", "s2").agg(F.min("k").alias("class"))
+    return signed.join(first, ["n", "s1", "s2"]).select(F.col("k").alias(key), "class", "n")
+
+
+def positions(sensors: DataFrame, row: str, col: str, ids: DataFrame) -> DataFrame:
+    """Adds row_at and col_at: places of a sensor's row and column among the rows and columns that were read out, counting
+    from 1. `ids` has kind ('row' or 'col') and id, at most a few thousand. A sensor that wasn't read out is an error."""
+    at = F.row_number().over(Window.partitionBy("kind").orderBy("id"))
+    known = ids.filter("id IS NOT NULL").distinct().withColumn("at", at)
+    out = sensors
+    for kind, c in (("row", row), ("col", col)):
+        mine = known.filter(F.col("kind") == kind).select(F.col("id").alias(c), F.col("at").alias(f"{kind}_at"))
+        out = out.join(F.broadcast(mine), c, "left")  # the side of the array
+    lost = F.col("row_at").isNull() | F.col("col_at").isNull()
+    failed = F.raise_error(F.concat(F.lit("sensor was not read out: "), F.coalesce(F.col(row).cast("string"), F.lit("?")), F.lit(", "), F.coalesce(F.col(col).cast("string"), F.lit("?"))))
+    return out.withColumn("row_at", F.when(lost, failed.cast("int")).otherwise(F.col("row_at"))).withColumn("col_at", F.when(lost, failed.cast("int")).otherwise(F.col("col_at")))

@@ -166,3 +166,10 @@ def numbered(units: DataFrame, order: list[str], name: str = "running_id") -> Da
     start = F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = sizes.select("_p", "_first", start.alias("_start"))  # one row for each task
     return at.join(F.broadcast(starts), "_p").withColumn(name, F.col("_m") - F.col("_first") + F.col("_start") + 1).drop("_p", "_m", "_first", "_start")
+
+
+def lag_product(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
+    """(by, lag, v): Cauchy product over the lags of two tensors (by, sensor_row, sensor_col, lag, v), summed over sensors."""
+    other = right.select(*by, "sensor_row", "sensor_col", F.col("lag").alias("_lag"), F.col("v").alias("_v"))
+    both = left.join(other, [*by, "sensor_row", "sensor_col"])
+    return both.groupBy(*by, (F.col("lag") + F.col("_lag")).alias("lag")).agg(F.sum(F.col("v") * F.col("_v")).alias("v"))

@@ -10,8 +10,11 @@ SPIKES = "skipped string, neuron string, time double, skipped2 double, sensor_co
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
-    """Detected events; only the columns that a query uses are parsed. Lines that don't fit give nulls."""
-    return spark.read.csv(path, sep="\t", header=True, schema=EVENTS, mode="PERMISSIVE")
+    """Detected events; only the columns that a query uses are parsed. Lines that don't fit give nulls; sensors that aren't
+    empty but hold a single sign, as when columns are separated by another mark, are an error."""
+    events = spark.read.csv(path, sep="\t", header=True, schema=EVENTS, mode="PERMISSIVE")
+    broken = F.raise_error(F.concat(F.lit("not a list of sensors: "), F.col("sensors")))
+    return events.withColumn("sensors", F.when((F.length("sensors") == 1) & (F.col("sensors") != "0"), broken).otherwise(F.col("sensors")))
 
 
 def read_true_spikes(spark: SparkSession, path: str) -> DataFrame:
