@@ -97,24 +97,27 @@ def mixtures(df: DataFrame, by: list[str], value: str, rounds: int = 100) -> Dat
         best, tried = None, set()
         for smooth in (1e9, 128, 64, 32, 16, 8, 4, 2, 1):
             peaks = modes(pdf, smooth) if smooth < 1e9 else at[[int(np.searchsorted(np.cumsum(n), total / 2))]]
-            if len(peaks) in tried:
+            if len(peaks) in tried or len(peaks) > 1 and 3 * len(peaks) > total:  # no more parameters than values
                 continue
             tried.add(len(peaks))
             near = np.abs(at[:, None] - peaks).argmin(axis=1)
             mass = np.maximum(np.bincount(near, n, len(peaks)), 1e-12)
             mean = np.bincount(near, n * x, len(peaks)) / mass
             sd = np.maximum(np.sqrt(np.bincount(near, n * (x - mean[near]) ** 2, len(peaks)) / mass), floor)
-            weight = mass / total
+            weight, fitted, last = mass / total, -np.inf, None
             for _ in range(rounds):
+                last = fitted
                 log = np.log(weight) - np.log(sd) - 0.5 * ((x[:, None] - mean) / sd) ** 2
                 peak = log.max(axis=1, keepdims=True)
                 part = np.exp(log - peak)
                 norm = part.sum(axis=1, keepdims=True)
+                fitted = float(n @ (np.log(norm[:, 0]) + peak[:, 0]))
+                if fitted - last < 1e-4:
+                    break
                 part = part / norm * n[:, None]
                 mass = np.maximum(part.sum(axis=0), 1e-12)
                 weight, mean = mass / total, x @ part / mass
                 sd = np.maximum(np.sqrt(np.sum(part * (x[:, None] - mean) ** 2, axis=0) / mass), floor)
-            fitted = float(n @ (np.log(norm[:, 0]) + peak[:, 0]))
             score = -2 * fitted + (3 * len(peaks) - 1) * np.log(total)
             if best is None or score < best[0] - 1e-9:
                 best = (score, weight, mean, sd)
