@@ -16,9 +16,9 @@ def from_linear(index, rows: int):
     return F.pmod(index - 1, F.lit(rows)) + 1, F.floor((index - 1) / rows) + 1
 
 
-def valid_events(sensors: DataFrame, key: str, most: int) -> DataFrame:
-    """Keys of events with at least one and at most `most` sensors."""
-    return sensors.groupBy(key).agg(F.count("*").alias("sensors")).filter(F.col("sensors") <= most)
+def valid_events(counted: DataFrame, most: int) -> DataFrame:
+    """Events with at least one and at most `most` sensors, from their number (column `sensors`; see count_packed)."""
+    return counted.filter((F.col("sensors") >= 1) & (F.col("sensors") <= most))
 
 
 def active_sensors(events: DataFrame, row: str, col: str, least: int) -> DataFrame:
@@ -27,11 +27,12 @@ def active_sensors(events: DataFrame, row: str, col: str, least: int) -> DataFra
     return known.groupBy(row, col).agg(F.count("*").alias("n")).filter(F.col("n") >= least)
 
 
-def regions(events: DataFrame, sensors: DataFrame, key: str, active: DataFrame, fill: bool = False) -> DataFrame:
-    """(roi_row, roi_col, row, col): all sensors that took part in events of an active boss sensor, and the boss
-    itself. With `fill`, the column behind each sensor joins in (for arrays read out in every second one)."""
-    mine = events.join(active.select("boss_row", "boss_column"), ["boss_row", "boss_column"]).select(key, F.col("boss_row").alias("roi_row"), F.col("boss_column").alias("roi_col"))
-    took = mine.join(sensors.select(key, F.col("sensor_row").alias("row"), F.col("sensor_col").alias("col")), key).select("roi_row", "roi_col", "row", "col")
+def regions(sensors: DataFrame, active: DataFrame, fill: bool = False) -> DataFrame:
+    """(roi_row, roi_col, row, col): all sensors (boss_row, boss_column, sensor_row, sensor_col) that took part in events of
+    an active boss sensor, and the boss itself. With `fill`, the column behind each sensor joins in (for arrays read out
+    in every second one). Sensors are made distinct before the join, so a busy boss sensor is no large key of it."""
+    each = sensors.select(F.col("boss_row").alias("roi_row"), F.col("boss_column").alias("roi_col"), F.col("sensor_row").alias("row"), F.col("sensor_col").alias("col")).distinct()
+    took = each.join(active.select(F.col("boss_row").alias("roi_row"), F.col("boss_column").alias("roi_col")), ["roi_row", "roi_col"])
     own = active.select(F.col("boss_row").alias("roi_row"), F.col("boss_column").alias("roi_col"), F.col("boss_row").alias("row"), F.col("boss_column").alias("col"))
     every = took.unionByName(own)
     if fill:

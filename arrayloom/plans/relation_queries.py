@@ -10,6 +10,7 @@ from arrayloom.operators import joins as J
 from arrayloom.operators import units as U
 from arrayloom.operators.components import connected_components, single_linkage
 from arrayloom.operators.order import order_estimates
+from arrayloom.operators.packed import count_packed, split_packed
 from arrayloom.plans.array_queries import SQL as ARRAY_SQL
 from arrayloom.plans.array_queries import p4_found
 from arrayloom.session import write_through
@@ -36,19 +37,28 @@ def _templates(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "unit_templates")
 
 
+def _took_part(spark: SparkSession, folder: str, *extra: str) -> DataFrame:
+    """The sensors of each event with its boss sensor, from one reading of the events."""
+    carry = ("boss_row", "boss_column", *extra)
+    return split_packed(table(spark, folder, "basic_events"), "event_id", "sensors", ["filename", "place"], ("sensor_col", "sensor_row"), carry)
+
+
+def event_validity(spark, folder):
+    """Events with at most four sensors."""
+    counted = count_packed(table(spark, folder, "basic_events"), "event_id", "sensors", ["filename", "place"])
+    return E.valid_events(counted.withColumnRenamed("values", "sensors"), 4)
+
+
 def _sets(spark: SparkSession, folder: str, *by: str) -> DataFrame:
     """Sensors by boss sensor (and the fields `by` of its events), both as linear indices."""
-    events = _once(spark, folder, *by)
-    sensors = p4_found(spark, folder)
-    boss = events.filter("boss_row IS NOT NULL AND boss_column IS NOT NULL").select("event_id", *by, E.linear_index(F.col("boss_row"), F.col("boss_column"), ROWS).alias("roi"))
-    took = boss.join(sensors, "event_id")
-    return took.select(*by, "roi", E.linear_index(F.col("sensor_row"), F.col("sensor_col"), ROWS).alias("pixel")).distinct()
+    known = _took_part(spark, folder, *by).filter("boss_row IS NOT NULL AND boss_column IS NOT NULL")
+    roi, pixel = E.linear_index(F.col("boss_row"), F.col("boss_column"), ROWS), E.linear_index(F.col("sensor_row"), F.col("sensor_col"), ROWS)
+    return known.select(*by, roi.alias("roi"), pixel.alias("pixel")).distinct()
 
 
-def _regions(spark: SparkSession, folder: str) -> DataFrame:
-    events = _once(spark, folder)
-    active = E.active_sensors(events, "boss_row", "boss_column", 20)
-    return E.regions(events, p4_found(spark, folder), "event_id", active)
+def _regions(spark: SparkSession, folder: str, fill: bool = False) -> DataFrame:
+    active = E.active_sensors(_once(spark, folder), "boss_row", "boss_column", 20)
+    return E.regions(_took_part(spark, folder), active, fill)
 
 
 def _round(df: DataFrame, *names: str) -> DataFrame:
@@ -183,7 +193,7 @@ QUERIES = {
     "asof_event": asof_event,
     "box_scan": box_scan,
     "file_rate": file_rate,
-    "event_validity": lambda s, d: E.valid_events(p4_found(s, d), "event_id", 4),
+    "event_validity": event_validity,
     "active_sensors": lambda s, d: E.active_sensors(_once(s, d), "boss_row", "boss_column", 20),
     "region_sensors": _regions,
     "roi_boxes": roi_boxes,

@@ -11,7 +11,6 @@ from arrayloom.operators import events as E
 from arrayloom.operators import joins as J
 from arrayloom.operators import units as U
 from arrayloom.operators.order import order_by_kde
-from arrayloom.plans.array_queries import p4_found
 from arrayloom.plans.relation_queries import _ACT, _FRAC, _ONCE, _P4, _PEAK, _REG, _S, _SETS, _T, _U, _once, _pairs, _regions, _sets, _templates, _units, block_sizes
 from arrayloom.plans.relation_queries import _components as components_sql
 from arrayloom.plans.relation_queries import SQL as RELATION_SQL
@@ -120,7 +119,7 @@ def region_times(spark, folder):
 
 def filled_regions(spark, folder):
     """Region sensors of an array read out in every second column: the column behind each sensor joins in."""
-    return E.regions(_once(spark, folder), p4_found(spark, folder), "event_id", _active(spark, folder), fill=True)
+    return _regions(spark, folder, fill=True)
 
 
 def _mask(spark, folder):

@@ -38,7 +38,7 @@ def test_overlaps_of_every_two_runs(spark, tmp_path, monkeypatch):
     rows, rng = events(tmp_path), random.Random(8)
     took = {(e, rng.randrange(1, 8), rng.randrange(1, 3)) for e, *_ in rows for _ in range(3)}
     sensors = spark.createDataFrame(sorted(took), "event_id long, sensor_row int, sensor_col int")
-    monkeypatch.setattr(R, "p4_found", lambda s, d: sensors)
+    monkeypatch.setattr(R, "_took_part", lambda s, d, *by: R._once(s, d, *by).join(sensors, "event_id"))
     own = {}
     for e, f, r, c in rows:
         own.setdefault((f, (c - 1) * 128 + r), set()).update((q, p) for i, p, q in took if i == e)
