@@ -7,10 +7,13 @@ length is spread over tasks.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from arrayloom.session import write_through
+
 CHUNK = 65_536
 #: Fixed value: median of |x| over the standard deviation, for normally distributed x.
 MEDIAN_OVER_SIGMA = 0.6745
@@ -31,10 +34,46 @@ def _core(df: DataFrame) -> DataFrame:
     return df.filter("core").drop("chunk", "core")
 
 
+def medians(df: DataFrame, by: list[str], value: Column, most: int = 1_000_000) -> DataFrame:
+    """(by, median): the exact median of each group. Groups of more than `most` values are narrowed down first: each pass
+    counts the values between two ends in 1024 cells and goes on with the cell that holds the middle, until it has at most
+    `most` values, all are equal, or the two middle ones lie in different cells. Null and NaN take no part. Runs a job
+    while it is called, and one more for each pass."""
+    x = df.select(*by, value.cast("double").alias("x")).filter("x IS NOT NULL AND NOT isnan(x)")
+    sizes = x.groupBy(*by).agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+    sizes = write_through(sizes.withColumns({"below": F.lit(0).cast("long"), "inside": F.col("n")}))
+    wide = (F.col("inside") > most) & (F.col("lo") < F.col("hi"))
+    large = sizes.filter(wide)
+    if large.isEmpty():
+        return x.groupBy(*by).agg(F.median("x").alias("median"))
+    few, solved, columns = sizes.filter(~wide), [], [*by, "n", "lo", "hi", "below", "inside"]
+    while not large.isEmpty():
+        near = x.join(large, by).filter(F.col("x").between(F.col("lo"), F.col("hi")))
+        # cells of equal width on a scale of magnitudes; on a plain one, where the ends are too near for that
+        g = {c: F.signum(c) * F.ln(1 + F.least(F.abs(c), F.lit(1e240)) * 2.0**200) for c in ("x", "lo", "hi")}
+        share = F.when(g["hi"] - g["lo"] > 1e-9, (g["x"] - g["lo"]) / (g["hi"] - g["lo"])).otherwise(F.try_divide(F.col("x") - F.col("lo"), F.col("hi") - F.col("lo")))
+        cell = F.least(F.floor(share * 1024), F.lit(1023))
+        cells = near.groupBy(*by, "n", "below", "inside", cell.alias("cell")).agg(F.count("*").alias("c"), F.min("x").alias("a"), F.max("x").alias("b"))
+        ahead = Window.partitionBy(*by).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)  # over at most 1024 cells
+        cells = cells.withColumn("before", F.col("below") + F.coalesce(F.sum("c").over(ahead), F.lit(0)))
+        holds = [(F.col("before") <= k) & (k < F.col("before") + F.col("c")) for k in (F.expr("(n - 1) div 2"), F.expr("n div 2"))]
+        halves = cells.groupBy(*by, "n", F.col("inside").alias("was")).agg(*[F.max(F.when(h, F.struct("cell", "a", "b", "before", "c"))).alias(f"h{i}") for i, h in enumerate(holds)])
+        halves = write_through(halves)
+        apart = F.col("h0.cell") != F.col("h1.cell")
+        solved.append(halves.filter(apart).select(*by, ((F.col("h0.b") + F.col("h1.a")) / 2).alias("median")))
+        inner = halves.filter(~apart).select(*by, "n", F.col("h0.a").alias("lo"), F.col("h0.b").alias("hi"), F.col("h0.before").alias("below"), F.col("h0.c").alias("inside"), "was")
+        more = wide & (F.col("inside") < F.col("was"))  # values beyond 1e240 may not part
+        few, large = few.unionByName(inner.filter(~more).select(*columns)), inner.filter(more).select(*columns)
+    equal = few.filter("lo = hi").select(*by, F.col("lo").alias("median"))
+    rest = x.join(few.filter("lo < hi"), by).filter(F.col("x").between(F.col("lo"), F.col("hi")))
+    listed = rest.groupBy(*by, "n", "below").agg(F.array_sort(F.collect_list("x")).alias("l"))  # at most `most` values
+    middle = [F.get("l", (k - F.col("below")).cast("int")) for k in (F.expr("(n - 1) div 2"), F.expr("n div 2"))]
+    return reduce(DataFrame.unionByName, [equal, listed.select(*by, ((middle[0] + middle[1]) / 2).alias("median")), *solved])
+
+
 def noise_sigma(df: DataFrame, by: list[str], value: str = "v") -> DataFrame:
     """Robust noise level of each channel: median(|v|) / 0.6745, not centred. Null and NaN take no part."""
-    clean = df.filter(F.col(value).isNotNull() & ~F.isnan(value))
-    return clean.groupBy(*by).agg((F.median(F.abs(value)) / MEDIAN_OVER_SIGMA).alias("sigma"))
+    return medians(df, by, F.abs(value)).select(*by, (F.col("median") / MEDIAN_OVER_SIGMA).alias("sigma"))
 
 
 def center_scale(df: DataFrame, by: list[str], value: str = "v") -> DataFrame:

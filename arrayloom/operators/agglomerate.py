@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,37 +13,55 @@ from arrayloom.operators.joins import set_overlap
 from arrayloom.session import write_through
 
 
-def agglomerate(sets: DataFrame, key: str, member: str, least_overlap: float, most: int) -> DataFrame:
-    """(region, key): a seed takes in the set that overlaps it most, while overlap (common over the smaller size)
-    is at least `least_overlap` and the union holds at most `most` members; else it is closed, and the set just
+def agglomerate(sets: DataFrame, key: str, member: str, least_overlap: float, most: int, recording: str | None = None) -> DataFrame:
+    """(recording, region, key): a seed takes in the set that overlaps it most, while overlap (common over the smaller
+    size) is at least `least_overlap` and the union holds at most `most` members; else it is closed, and the set just
     refused is the next seed. Sets start in the order of their keys, equal overlaps keep the order so far. The
-    region is named by its first seed. Only sets linked by overlaps can meet, so each connected component of
-    overlapping sets is one task; its size is bounded by the sensors of the array."""
-    clean = sets.select(F.col(key).cast("long").alias("k"), F.col(member).cast("long").alias("m")).filter("k IS NOT NULL AND m IS NOT NULL")
-    clean = write_through(clean.distinct())
-    parts = connected_components(set_overlap(clean, "k", "m"), "a", "b", clean, "k")
+    region is named by its first seed. Recordings are apart; without the column, all sets are of one.
+
+    The order of steps is part of the result, so it is followed set by set. But only sets linked by overlaps can meet:
+    each connected component of overlapping sets of one recording is a task of its own. It holds at most as many sets as
+    the array has sensors, and a step updates the overlaps of the members that the seed has gained only. Runs jobs while
+    it is called."""
+    own = F.lit("").alias("g") if recording is None else F.col(recording).alias("g")
+    clean = sets.select(own, F.col(key).cast("long").alias("k"), F.col(member).cast("long").alias("m")).filter("g IS NOT NULL AND k IS NOT NULL AND m IS NOT NULL").distinct()
+    clean = write_through(clean)
+    named = write_through(clean.select("g", "k").distinct().withColumn("id", F.monotonically_increasing_id()))
+    clean = write_through(clean.join(named, ["g", "k"]))
+    overlaps = set_overlap(clean.select("id", F.struct("g", "m").alias("at")), "id", "at")
+    parts = connected_components(overlaps, "a", "b", named, "id")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        sets = {k: set(g) for k, g in pdf.groupby("k")["m"]}
+        sets = {k: set(m) for k, m in pdf.groupby("k")["m"]}
+        holders = defaultdict(list)
+        for k, members in sets.items():
+            for m in members:
+                holders[m].append(k)
         rest, out = sorted(sets), []
+        seed, common, name = set(), {}, None
 
-        def ordered(seed: set, rest: list) -> list:
-            overlap = {k: len(seed & sets[k]) / min(len(seed), len(sets[k])) for k in rest}
-            return sorted(rest, key=lambda k: -overlap[k])
+        def gain(members: set) -> None:
+            for m in members - seed:
+                for k in holders[m]:
+                    common[k] += 1
+            seed.update(members)
 
-        name = rest.pop(0)
-        seed = set(sets[name])
-        out.append((name, name))
-        while rest:
-            rest = ordered(seed, rest)
-            k = rest.pop(0)
-            both = seed | sets[k]
-            if len(seed & sets[k]) / min(len(seed), len(sets[k])) >= least_overlap and len(both) <= most:
-                seed = both
+        def overlap(k: int) -> float:
+            return common[k] / min(len(seed), len(sets[k]))
+
+        k = rest.pop(0)
+        while True:
+            if name is not None and overlap(k) >= least_overlap and len(seed | sets[k]) <= most:
+                gain(sets[k])
             else:
-                name, seed = k, set(sets[k])
-            out.append((name, k))
-        return pd.DataFrame(out, columns=["region", "k"])
+                name, seed, common = k, set(), dict.fromkeys(sets, 0)
+                gain(sets[k])
+            out.append((pdf["g"].iloc[0], name, k))
+            if not rest:
+                return pd.DataFrame(out, columns=["g", "region", "k"])
+            rest.sort(key=overlap, reverse=True)  # a stable sort keeps the order of equals
+            k = rest.pop(0)
 
-    grown = clean.join(parts, "k").groupBy("component").applyInPandas(run, "region bigint, k bigint")
-    return grown.select("region", F.col("k").alias(key))
+    kind = clean.schema["g"].dataType.simpleString()
+    grown = clean.join(parts, "id").select("component", "g", "k", "m").groupBy("component").applyInPandas(run, f"g {kind}, region bigint, k bigint")
+    return grown.select(*([] if recording is None else [F.col("g").alias(recording)]), "region", F.col("k").alias(key))

@@ -7,24 +7,29 @@ p * p numbers per group and task; only such matrices, never frames, meet in one
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from arrayloom.session import forget, tree_fan, write_through
+from arrayloom.session import tree_fan, write_through
 
 _SUMS = "_n bigint, _s array<double>, _g array<double>"
 
 
-def frames_of(df: DataFrame, by: list[str], channel: str, value: str = "v") -> DataFrame:
-    """Frames from the long form; channels in their order. Frames that lack a channel are dropped."""
-    every = df.groupBy(*by).agg(F.count_distinct(channel).alias("_p"))
-    packed = df.groupBy(*by, "frame").agg(F.array_sort(F.collect_list(F.struct(F.col(channel), F.col(value)))).alias("_x"))
-    whole = packed.join(every, by).filter(F.size("_x") == F.col("_p"))
-    return whole.select(*by, "frame", F.transform("_x", lambda s: s[value]).alias("x"))
+def frames_of(df: DataFrame, by: list[str], channel: str, value: str = "v", fill: float | None = None) -> DataFrame:
+    """(by, frame, x): frames from the long form, channels in their order. Frames that lack a channel are dropped, or the
+    missing values are `fill`. A channel's repeated values in a frame are an error."""
+    order = df.groupBy(*by).agg(F.array_sort(F.collect_set(channel)).alias("_channels"))  # the channels of a group
+    values = df.groupBy(*by, "frame").agg(F.map_from_entries(F.collect_list(F.struct(F.col(channel), F.col(value)))).alias("_x"))
+    both = values.join(order, by)
+    if fill is None:
+        both = both.filter(F.size("_x") == F.size("_channels"))
+    x = F.transform("_channels", lambda c: F.try_element_at("_x", c))
+    return both.select(*by, "frame", (x if fill is None else F.transform(x, lambda v: F.coalesce(v, F.lit(fill)))).alias("x"))
 
 
 def _sums(total: dict, by: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
@@ -105,14 +110,22 @@ def principal_axes(df: DataFrame, by: list[str]) -> DataFrame:
     return gramians(df, by).groupBy(*by).applyInPandas(solve, f"{kinds}, i int, variance double, axis array<double>")
 
 
-def whiten(df: DataFrame, by: list[str], components: int) -> DataFrame:
-    """Frames centred and projected onto the first principal axes, each with variance 1 (axes without variance give 0)."""
-    axes = principal_axes(df, by).filter(F.col("i") < components)
+def whiten(df: DataFrame, by: list[str], components: int | DataFrame, axes: DataFrame | None = None) -> DataFrame:
+    """Frames centred and projected onto the first principal axes, each with variance 1 (axes without variance give 0).
+    `components` is their number, or a table (by, components)."""
+    axes = principal_axes(df, by) if axes is None else axes
+    axes = _first_axes(axes, by, components)
     basis = axes.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", F.when(F.col("variance") > 1e-12, 1 / F.sqrt("variance")).otherwise(0.0).alias("w"), "axis"))), lambda s: F.transform(s["axis"], lambda a: a * s["w"])).alias("m"))
     mean = gramians(df, by).select(*by, F.transform("_s", lambda v: v / F.col("_n")).alias("mean"))
     return _project(df, write_through(basis.join(mean, by)), by)
 
 
+def _first_axes(axes: DataFrame, by: list[str], components: int | DataFrame) -> DataFrame:
+    if isinstance(components, int):
+        return axes.filter(F.col("i") < components)
+    return axes.join(components.select(*by, F.col("components").alias("_k")), by).filter(F.col("i") < F.col("_k")).drop("_k")
+
+
 def _project(df: DataFrame, models: DataFrame, by: list[str]) -> DataFrame:
     """x := m (x - mean), with one model per group."""
     centred = F.zip_with("x", "mean", lambda a, b: a - b)
@@ -121,27 +134,38 @@ def _project(df: DataFrame, models: DataFrame, by: list[str]) -> DataFrame:
     return joined.select(*by, "frame", F.transform("m", dot).alias("x"))
 
 
-def fast_ica(df: DataFrame, by: list[str], components: int, rounds: int = 30, tolerance: float = 1e-6, seed: int = 0) -> tuple[DataFrame, DataFrame]:
-    """(sources, unmixing): symmetric FastICA with the cubic nonlinearity on whitened frames.
+def fast_ica(
+    df: DataFrame, by: list[str], components: int | DataFrame, rounds: int = 200, tolerance: float = 1e-4, seed: int = 0, axes: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """(sources, unmixing): symmetric FastICA with the cubic nonlinearity on whitened frames. `components` is a number, or a
+    table (by, components); `axes` are the principal axes, if they are known already.
 
-    Every round is one pass over all frames that sums x * (w x)**3 per group; the components * components
-    results of a group are made orthogonal and handed to the next round as a small table. Sources are
-    defined up to order and sign.
+    Every round is one pass over the frames of the groups that still change, which sums x * (w x)**3 per group; the
+    square results of a group are made orthogonal and handed to the next round as a small table. A group is done when
+    no row of its matrix turns by more than `tolerance` (1 - |cosine|). unmixing has (by, w, change, converged):
+    groups that haven't settled after `rounds` passes, such as those without sources, aren't converged. Sources are defined
+    up to order and sign. Runs a job for each round.
     """
-    z = write_through(whiten(df, by, components))
+    z = write_through(whiten(df, by, components, axes))
     kinds = _schema(df, by)
-    start = np.linalg.qr(np.random.default_rng(seed).normal(size=(components, components)))[0]
-    model = z.select(*by).distinct().withColumn("w", F.array(*[F.lit(float(v)) for v in start.ravel()])).withColumn("change", F.lit(1.0))
-    model = write_through(model)
+
+    def begin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            start = {p: np.linalg.qr(np.random.default_rng(seed).normal(size=(p, p)))[0].ravel() for p in pdf["p"].unique()}
+            yield pdf[by].assign(w=[start[p] for p in pdf["p"]], change=1.0)
+
+    sizes = z.groupBy(*by).agg(F.first(F.size("x")).alias("p"))
+    active = write_through(sizes.mapInPandas(begin, f"{kinds}, w array<double>, change double"))
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict = {}
+        types: list = []
         for batch in batches:
             rows, types = batch.to_pandas(), [batch.schema.field(c).type for c in by]
             for name, part in rows.groupby(by, dropna=False):
                 name = name if isinstance(name, tuple) else (name,)
-                w = np.array(part["w"].iloc[0]).reshape(components, components)
                 x = np.stack(part["x"])
+                w = np.array(part["w"].iloc[0]).reshape(x.shape[1], x.shape[1])
                 new = (len(x), w.ravel(), ((x @ w.T) ** 3).T @ x)
                 old = total.get(name)
                 total[name] = new if old is None else (old[0] + new[0], old[1], old[2] + new[2])
@@ -150,22 +174,42 @@ def fast_ica(df: DataFrame, by: list[str], components: int, rounds: int = 30, to
 
     def turn(pdf: pd.DataFrame) -> pd.DataFrame:
         r = pdf.iloc[0]
-        old = np.array(r["_s"]).reshape(components, components) / r["_n"]
-        new = np.array(r["_g"]).reshape(components, components) / r["_n"] - 3 * old
+        p = int(round(len(r["_s"]) ** 0.5))
+        old = np.array(r["_s"]).reshape(p, p) / r["_n"]
+        new = np.array(r["_g"]).reshape(p, p) / r["_n"] - 3 * old
         u, _, v = np.linalg.svd(new)
         new = u @ v
         change = float(np.max(1 - np.abs(np.sum(new * old, axis=1))))
         return pd.DataFrame({**{c: [r[c]] for c in by}, "w": [new.ravel()], "change": [change]})
 
+    settled = []
     for _ in range(rounds):
-        sums = z.join(model.drop("change"), by).select(*by, "x", "w").mapInArrow(step, f"{kinds}, {_SUMS}")
-        last, model = model, write_through(_add_up(sums, by, kinds).groupBy(*by).applyInPandas(turn, f"{kinds}, w array<double>, change double"))
-        forget(last)
-        if model.filter(F.col("change") > tolerance).isEmpty():
+        sums = z.join(active.drop("change"), by).select(*by, "x", "w").mapInArrow(step, f"{kinds}, {_SUMS}")
+        turned = write_through(_add_up(sums, by, kinds).groupBy(*by).applyInPandas(turn, f"{kinds}, w array<double>, change double"))
+        settled.append(turned.filter(F.col("change") <= tolerance))
+        active = turned.filter(F.col("change") > tolerance)
+        if active.isEmpty():
             break
-    rows = F.transform(F.sequence(F.lit(0), F.lit(components - 1)), lambda i: F.slice("w", i * components + 1, components))
-    models = model.select(*by, rows.alias("m"), F.array_repeat(F.lit(0.0), components).alias("mean"))
-    return _project(z, models, by), model.select(*by, "w", "change")
+    model = write_through(reduce(DataFrame.unionByName, settled).withColumn("converged", F.lit(True)).unionByName(active.withColumn("converged", F.lit(False))))
+    side = F.sqrt(F.size("w")).cast("int")
+    rows = F.transform(F.sequence(F.lit(0), side - 1), lambda i: F.slice("w", i * side + 1, side))
+    models = model.select(*by, rows.alias("m"), F.array_repeat(F.lit(0.0), side).alias("mean"))
+    return _project(z, models, by), model
+
+
+def mixing(axes: DataFrame, model: DataFrame, by: list[str], components: int | DataFrame) -> DataFrame:
+    """(by, comp, at, weight): how much of each source stands in each position of the frames (counting from 0): the axes, with
+    their spread, turned by the unmixing matrix of fast_ica. Small matrices of a group."""
+    kinds = _schema(model, by)
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("i")
+        w = np.array(pdf["w"].iloc[0]).reshape(len(pdf), len(pdf))
+        a = w @ (np.stack(pdf["axis"]) * np.sqrt(np.maximum(pdf["variance"].to_numpy(), 0))[:, None])
+        k, p = a.shape
+        return pd.DataFrame({**{c: [pdf[c].iloc[0]] * (k * p) for c in by}, "comp": np.repeat(np.arange(k), p), "at": np.tile(np.arange(p), k), "weight": a.ravel()})
+
+    return _first_axes(axes, by, components).join(model.select(*by, "w"), by).groupBy(*by).applyInPandas(solve, f"{kinds}, comp int, at int, weight double")
 
 
 def optimal_filters(df: DataFrame, by: list[str], templates: DataFrame) -> DataFrame:
@@ -204,20 +248,21 @@ def wiener_weights(correlations: DataFrame, by: list[str]) -> DataFrame:
 def crosstalk(traces: DataFrame, pairs: DataFrame, order: int) -> DataFrame:
     """(a, b, ratio): of each pair of channels the larger share of one's variance that a causal filter of the other
     explains. `traces` has channel, frame, v; `pairs` has a < b, already limited to near channels."""
-    from arrayloom.functions.signal import cross_correlation
+    from arrayloom.functions.signal import cross_correlation, with_halo
 
     p = pairs.select("a", "b")
     ways = p.select("a", "b", F.col("a").alias("ref"), F.col("b").alias("other")).unionByName(p.select("a", "b", F.col("b").alias("ref"), F.col("a").alias("other")))
     x = traces.select(F.col("channel").alias("other"), "frame", F.col("v").alias("x"))
     y = traces.select(F.col("channel").alias("ref"), "frame", F.col("v").alias("y"))
-    both = ways.join(x, "other").join(y, ["ref", "frame"])
     by = ["a", "b", "ref"]
-    both = both.select(*by, "frame", "x", "y")
+    both = write_through(ways.join(x, "other").join(y, ["ref", "frame"]).select(*by, "frame", "x", "y"))
     auto = cross_correlation(both.withColumn("x2", F.col("x")), by, order, "x", "x2").withColumnRenamed("r", "auto")
     cross = cross_correlation(both, by, order, "y", "x").withColumnRenamed("r", "cross")
     w = write_through(wiener_weights(auto.join(cross, [*by, "lag"]), by))
-    lags = both.join(w, by).select(*by, "y", F.posexplode("w").alias("lag", "wk"), "frame", "x").select(*by, (F.col("frame") + F.col("lag")).alias("frame"), (F.col("wk") * F.col("x")).alias("part"))
-    fitted = lags.groupBy(*by, "frame").agg(F.sum("part").alias("e")).join(both.select(*by, "frame", "y"), [*by, "frame"])
+    line = Window.partitionBy(*by, "chunk").orderBy("frame")
+    near = with_halo(both.join(w, by), "frame", order, 0)
+    fit = sum((F.get("w", F.lit(k)) * F.coalesce(F.lag("x", k).over(line), F.lit(0.0)) for k in range(order + 1)), F.lit(0.0))
+    fitted = near.withColumn("e", fit).filter("core")
     ratios = fitted.groupBy(*by).agg(F.try_divide(F.var_samp("e"), F.var_samp("y")).alias("r"))
     return ratios.groupBy("a", "b").agg(F.max("r").alias("ratio"))
 

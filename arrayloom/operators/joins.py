@@ -34,8 +34,9 @@ def band_pairs(left: DataFrame, right: DataFrame, by: list[str], x: str, y: str,
 def coincidences(left: DataFrame, right: DataFrame, by: list[str], x: str, y: str, jitter: float, left_id: str) -> DataFrame:
     """Left rows with exactly one right row within `jitter`: (by, left_id and the columns of the pair)."""
     pairs = band_pairs(left, right, by, x, y, jitter)
-    one = pairs.groupBy(*by, left_id).agg(F.count("*").alias("_n")).filter("_n = 1").drop("_n")
-    return pairs.join(one, [*by, left_id], "left_semi")
+    rest = [c for c in pairs.columns if c not in (*by, left_id)]
+    one = pairs.groupBy(*by, left_id).agg(F.count("*").alias("_n"), F.first(F.struct(*rest)).alias("_pair")).filter("_n = 1")
+    return one.select(*by, left_id, "_pair.*")
 
 
 def asof_backward(probes: DataFrame, refs: DataFrame, by: list[str], time: str, ref_time: str, value: str, width: float) -> DataFrame:
@@ -43,12 +44,12 @@ def asof_backward(probes: DataFrame, refs: DataFrame, by: list[str], time: str,
 
     Both sides go into buckets of `width` and are ordered inside a bucket only; what a bucket inherits, the last
     reference of an earlier one, comes from a window over one row per bucket. References of one time: the
-    largest value. A probe without a time gets null."""
+    largest value. A probe without a time gets null. Both sides are written once, as they are read twice."""
     kind = F.struct(F.col(ref_time).alias("_t"), F.col(value).alias("_v"))
     r = refs.filter(F.col(ref_time).isNotNull()).select(*by, F.col(ref_time).alias("_at"), F.lit(0).alias("_side"), kind.alias("_ref"), F.lit(None).alias("_row"))
     p = probes.withColumn("_row", F.struct(*probes.columns))
     p = p.select(*by, F.col(time).cast(r.schema["_at"].dataType).alias("_at"), F.lit(1).alias("_side"), F.lit(None).alias("_ref"), "_row")
-    both = r.unionByName(p).withColumn("_bucket", F.floor(F.col("_at") / width))
+    both = write_through(r.unionByName(p).withColumn("_bucket", F.floor(F.col("_at") / width)))
     heads = both.groupBy(*by, "_bucket").agg(F.max("_ref").alias("_last"))
     before = Window.partitionBy(*by).orderBy(F.asc_nulls_first("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
     heads = heads.withColumn("_inherited", F.max("_last").over(before)).drop("_last")

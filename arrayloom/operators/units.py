@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -173,3 +177,37 @@ def lag_product(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
     other = right.select(*by, "sensor_row", "sensor_col", F.col("lag").alias("_lag"), F.col("v").alias("_v"))
     both = left.join(other, [*by, "sensor_row", "sensor_col"])
     return both.groupBy(*by, (F.col("lag") + F.col("_lag")).alias("lag")).agg(F.sum(F.col("v") * F.col("_v")).alias("v"))
+
+
+def numbered_within(df: DataFrame, by: list[str], order: list[str], name: str = "frame") -> DataFrame:
+    """Adds a running number within each group in the given order, however large a group is: ranges of (by, order) are
+    sorted side by side, and each counts on from where its first group stood at the end of the ranges before. Ties of the
+    order are numbered in any way. Runs a job while it is called."""
+    from arrayloom.session import reliable_checkpoint
+
+    ranged = reliable_checkpoint(df.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order))
+    at = ranged.withColumn("_p", F.spark_partition_id())
+    ahead = Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = at.groupBy(*by, "_p").agg(F.count("*").alias("_n")).withColumn("_start", F.sum("_n").over(ahead))
+    starts = sizes.filter("_start > 0").select("_p", "_start")  # at most one row for each task
+    names, fields = df.columns, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, n = None, None
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            codes = [pa.compute.dictionary_encode(batch.column(c), null_encoding="encode").indices.to_numpy() for c in by]
+            first = np.append(True, np.any([np.diff(c) != 0 for c in codes], axis=0))
+            places = np.arange(batch.num_rows)
+            numbers = places - np.maximum.accumulate(np.where(first, places, 0)) + 1
+            key = [batch.column(c)[0].as_py() for c in by]
+            run = np.cumsum(first) == 1
+            if n is None:
+                numbers[run] += batch.column("_start")[0].as_py() or 0
+            elif key == last:
+                numbers[run] += n
+            last, n = [batch.column(c)[-1].as_py() for c in by], int(numbers[-1])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(numbers)], names=[*names, name])
+
+    return at.join(F.broadcast(starts), "_p", "left").select(*df.columns, "_start").mapInArrow(count, f"{fields}, `{name}` bigint")

@@ -10,7 +10,7 @@ from arrayloom.operators import decompose as D
 from arrayloom.operators import density as N
 from arrayloom.operators.agglomerate import agglomerate
 from arrayloom.operators.joins import pairs_within
-from arrayloom.plans.relation_queries import _sets, _units
+from arrayloom.plans.relation_queries import _SETS, _sets, _units
 from arrayloom.plans.trace_queries import BY, _X, traces
 from arrayloom.session import write_through
 from arrayloom.sources.tables import table
@@ -34,9 +34,31 @@ def principal_variance(spark, folder):
     return D.principal_axes(_frames(spark, folder), ["label"]).select("label", "i", F.round("variance", 6).alias("variance"))
 
 
+def _train_frames(spark: SparkSession, folder: str, width: float = 20.0) -> DataFrame:
+    """The trains of each region's units as frames: spikes of every unit in bins of `width` ms, 0 where there are none.
+    Regions of one unit have nothing to separate."""
+    spikes = table(spark, folder, "unit_spikes").filter("time IS NOT NULL AND NOT isnan(time)").select("spike_id", "unit_id", F.floor(F.col("time") / width).alias("frame")).distinct()
+    counts = spikes.groupBy("unit_id", "frame").agg(F.count("*").alias("n")).join(_units(spark, folder).select("unit_id", "roi_id"), "unit_id")
+    counts = write_through(counts)
+    units = counts.groupBy("roi_id").agg(F.array_sort(F.collect_set("unit_id")).alias("units")).filter(F.size("units") > 1)  # units of a region
+    ends = counts.agg(F.min("frame").alias("a"), F.max("frame").alias("b"))  # one row
+    every = units.join(F.broadcast(ends)).select("roi_id", "units", F.explode(F.sequence("a", "b")).alias("frame"))
+    mine = counts.groupBy("roi_id", "frame").agg(F.map_from_entries(F.collect_list(F.struct("unit_id", F.col("n").cast("double")))).alias("m"))
+    x = F.transform("units", lambda u: F.coalesce(F.try_element_at("m", u), F.lit(0.0)))
+    return every.join(mine, ["roi_id", "frame"], "left").select("roi_id", "frame", x.alias("x"))
+
+
 def independent_sources(spark, folder):
-    sources, _ = D.fast_ica(_frames(spark, folder), ["label"], 3, rounds=10)
-    return sources.select("label", "frame", F.posexplode("x").alias("component", "v"))
+    """Two independent sources of the trains of each region, where the separation has settled."""
+    sources, model = D.fast_ica(_train_frames(spark, folder), ["roi_id"], 2)
+    settled = model.filter("converged").select("roi_id")
+    return sources.join(settled, "roi_id", "left_semi").select("roi_id", "frame", F.posexplode("x").alias("component", "v"))
+
+
+def source_covariance(spark, folder):
+    """Covariances of those sources, settled or not: one with itself, none with another."""
+    sources, _ = D.fast_ica(_train_frames(spark, folder), ["roi_id"], 2)
+    return D.covariances(sources, ["roi_id"]).select("roi_id", "i", "j", (F.round("c", 6) + 0.0).alias("c"))
 
 
 def embedded_axes(spark, folder):
@@ -52,6 +74,17 @@ def _filters(spark, folder):
     return D.optimal_filters(frames, ["label"], t.withColumn("unit", F.col("label")))
 
 
+def variance_total(spark, folder):
+    """The principal variances of each label in all: the trace of its covariance."""
+    return D.principal_axes(_frames(spark, folder), ["label"]).groupBy("label").agg(F.count("*").alias("axes"), F.round(F.sum("variance"), 6).alias("total"))
+
+
+def template_gain(spark, folder):
+    """The mean of what each optimal filter makes of its label's frames: as their mean is its template, it is -1."""
+    made = D.filtered_sources(_frames(spark, folder), _filters(spark, folder), ["label"])
+    return made.groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg("v"), 6).alias("gain"))
+
+
 def optimal_filters(spark, folder):
     return _filters(spark, folder).select("label", "unit", F.posexplode("f").alias("i", "weight"))
 
@@ -104,7 +137,12 @@ def cluster_isolation(spark, folder):
 
 
 def greedy_regions(spark, folder):
-    return agglomerate(_sets(spark, folder), "roi", "pixel", 0.1, 169)
+    return agglomerate(_sets(spark, folder, "filename"), "roi", "pixel", 0.1, 169, "filename")
+
+
+def region_members(spark, folder):
+    """Sensor sets of each file, counted over its greedy regions: every set is in one of them."""
+    return write_through(greedy_regions(spark, folder)).groupBy("filename").agg(F.count("*").alias("sets"), F.count_distinct("roi").alias("rois"))
 
 
 def stream_once(spark, folder):
@@ -120,6 +158,9 @@ QUERIES = {
     "covariance": covariance,
     "principal_variance": principal_variance,
     "independent_sources": independent_sources,
+    "source_covariance": source_covariance,
+    "variance_total": variance_total,
+    "template_gain": template_gain,
     "embedded_axes": embedded_axes,
     "optimal_filters": optimal_filters,
     "filtered_sources": filtered_sources,
@@ -131,12 +172,19 @@ QUERIES = {
     "winning_clusters": winning_clusters,
     "cluster_isolation": cluster_isolation,
     "greedy_regions": greedy_regions,
+    "region_members": region_members,
     "stream_once": stream_once,
 }
 
 _TAPS = S.lowpass(3)
 
 SQL = {
+    "source_covariance": """WITH U AS (SELECT unit_id, any_value(roi_id) AS roi_id FROM units GROUP BY unit_id), K AS (SELECT DISTINCT roi_id, unit_id FROM unit_spikes JOIN U USING (unit_id) WHERE time IS NOT NULL AND NOT isnan(time)),
+        R AS (SELECT roi_id FROM K GROUP BY roi_id HAVING count(*) > 1) SELECT roi_id, i::INT AS i, j::INT AS j, (i = j)::INT::DOUBLE AS c FROM R, (VALUES (0, 0), (0, 1), (1, 1)) t(i, j)""",
+    "variance_total": """WITH E AS (SELECT label, unnest(range(0, len(embedding))) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings), V AS (SELECT label, i, var_pop(v) AS v FROM E GROUP BY ALL)
+        SELECT label, count(*) AS axes, round(sum(v), 6) AS total FROM V GROUP BY label""",
+    "template_gain": "SELECT label, count(*) AS n, -1.0::DOUBLE AS gain FROM embeddings GROUP BY label",
+    "region_members": f"WITH {_SETS} SELECT filename, count(DISTINCT roi) AS sets, count(DISTINCT roi) AS rois FROM ST WHERE filename IS NOT NULL GROUP BY filename",
     "covariance": """WITH E AS (SELECT label, vec_id, unnest(range(0, len(embedding)))::INT AS i, unnest(embedding)::DOUBLE AS v FROM embeddings)
         SELECT x.label, x.i, y.i AS j, round(avg(x.v * y.v) - avg(x.v) * avg(y.v), 6) + 0.0 AS c FROM E x JOIN E y USING (label, vec_id) WHERE x.i <= y.i GROUP BY x.label, x.i, y.i""",
     "upsampled": f"""WITH {_X}, T AS (SELECT unnest({_TAPS}) AS tap, unnest(range(0, {len(_TAPS)})) - {len(_TAPS) // 2} AS d),

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Callable
+from functools import wraps
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arrayloom.functions import signal as S
+from arrayloom.operators.units import numbered_within
+from arrayloom.session import write_through
 from arrayloom.sources.tables import table
 
 BY = ["channel"]
@@ -20,61 +25,74 @@ _SNIP = _P + """,
 
 
 def traces(spark: SparkSession, folder: str) -> DataFrame:
-    line = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    events = table(spark, folder, "events")
-    return events.select(F.col("user_id").alias("channel"), F.row_number().over(line).alias("frame"), (-F.col("value")).alias("v"))
+    """The recording, written once, as queries read it several times."""
+    events = table(spark, folder, "events").select(F.col("user_id").alias("channel"), "ts", "event_id", (-F.col("value")).alias("v"))
+    return write_through(numbered_within(events, BY, ["ts", "event_id"], "frame").select("channel", "frame", "v"))
+
+
+def on_traces(query: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """A query of the recording as a query of a folder."""
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        return query(traces(spark, folder))
+
+    return wraps(query)(run)
 
 
 def _round(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.round(n, 6) for n in names})
 
 
-def _peaks(spark: SparkSession, folder: str) -> DataFrame:
-    return S.peaks(traces(spark, folder), BY, 2.0)
+def _peaks(x: DataFrame) -> DataFrame:
+    return S.peaks(x, BY, 2.0)
 
 
-def _windows(spark: SparkSession, folder: str) -> DataFrame:
-    return S.snippets(traces(spark, folder), _peaks(spark, folder), BY, 2, 3)
+def _windows(x: DataFrame) -> DataFrame:
+    return S.snippets(x, _peaks(x), BY, 2, 3)
 
 
-def spike_quality(spark, folder):
+@on_traces
+def spike_quality(x):
     """Spikes of each channel, the spread of their amplitudes and their distance from the noise."""
     size = F.avg(F.abs("v"))
-    out = _peaks(spark, folder).groupBy("channel").agg(
+    out = _peaks(x).groupBy("channel").agg(
         F.count("*").alias("n_spikes"), size.alias("mean_amp"), F.coalesce(F.stddev_samp("v"), F.lit(0.0)).alias("amplitude_sd"),
         F.try_divide(F.coalesce(F.stddev_samp("v"), F.lit(0.0)), size).alias("rstd"), F.try_divide(size, F.first("sigma")).alias("separability"),
     )
     return _round(out, "mean_amp", "amplitude_sd", "rstd", "separability")
 
 
-def component_filter(spark, folder):
+@on_traces
+def component_filter(x):
     """Channels split into kept ones and noise by skewness and number of peaks."""
-    x = S.sign_correct(traces(spark, folder), BY)
+    x = S.sign_correct(x, BY)
     n = S.peaks(x, BY, 2.0).groupBy("channel").agg(F.count("*").alias("peaks"))
     out = S.moments(x, BY).join(n, "channel", "left").withColumn("peaks", F.coalesce("peaks", F.lit(0)))
     keep = (F.abs("skewn") > 0.2) & (F.col("peaks") >= 3)
     return _round(out.select("channel", "skewn", "peaks", F.when(keep, "kept").otherwise("noise").alias("status")), "skewn")
 
 
-def onset_peaks(spark, folder):
-    x = traces(spark, folder).withColumn("v", -F.col("v"))
-    return S.onset_peaks(x, BY, F.lit(100.0), 4)
+@on_traces
+def onset_peaks(x):
+    return S.onset_peaks(x.withColumn("v", -F.col("v")), BY, F.lit(100.0), 4)
 
 
-def dilate_mask(spark, folder):
-    x = traces(spark, folder)
+@on_traces
+def dilate_mask(x):
     ends = x.groupBy("channel").agg(F.max("frame").alias("total"))
-    seeds = _peaks(spark, folder).select("channel", "frame", F.lit(True).alias("seed"))
+    seeds = _peaks(x).select("channel", "frame", F.lit(True).alias("seed"))
     x = x.join(seeds, ["channel", "frame"], "left").join(ends, "channel").withColumn("seed", F.coalesce("seed", F.lit(False)))
     return S.dilate(x, BY, "seed", 2, "total").filter("mask").select("channel", "frame")
 
 
-def autocorr(spark, folder):
-    return S.autocorrelation(traces(spark, folder), BY, 5).withColumn("r", F.round("r", 3))
+@on_traces
+def autocorr(x):
+    return S.autocorrelation(x, BY, 5).withColumn("r", F.round("r", 3))
 
 
-def amplitude_histogram(spark, folder):
-    return S.histogram(traces(spark, folder), BY, "v")
+@on_traces
+def amplitude_histogram(x):
+    return S.histogram(x, BY, "v")
 
 
 def grid_traces(spark, folder):
@@ -97,20 +115,20 @@ def active_box(spark, folder):
 
 QUERIES = {
     "spike_quality": spike_quality,
-    "noise_sigma": lambda s, d: _round(S.noise_sigma(traces(s, d), BY), "sigma"),
-    "center_scale": lambda s, d: _round(S.center_scale(traces(s, d), BY).select("channel", "frame", "z"), "z"),
-    "moments": lambda s, d: _round(S.moments(traces(s, d), BY), "skewn", "kurt"),
-    "sign_correct": lambda s, d: S.sign_correct(traces(s, d), BY),
-    "peaks": lambda s, d: _round(_peaks(s, d), "sigma"),
+    "noise_sigma": on_traces(lambda x: _round(S.noise_sigma(x, BY), "sigma")),
+    "center_scale": on_traces(lambda x: _round(S.center_scale(x, BY).select("channel", "frame", "z"), "z")),
+    "moments": on_traces(lambda x: _round(S.moments(x, BY), "skewn", "kurt")),
+    "sign_correct": on_traces(lambda x: S.sign_correct(x, BY)),
+    "peaks": on_traces(lambda x: _round(_peaks(x), "sigma")),
     "component_filter": component_filter,
     "onset_peaks": onset_peaks,
     "dilate_mask": dilate_mask,
-    "lag_embed": lambda s, d: S.lag_embed(traces(s, d), BY, 3),
-    "snippets": _windows,
-    "sta": lambda s, d: _round(S.template(_windows(s, d), BY), "v"),
-    "weighted_sta": lambda s, d: _round(S.template(_windows(s, d), BY, 1 / F.col("spike")), "v"),
-    "waveform_spread": lambda s, d: _round(S.waveform_spread(_windows(s, d), BY), "sd_score", "norm"),
-    "fir_causal": lambda s, d: _round(S.fir(traces(s, d), BY, [0.5, -0.25, 0.125]).select("channel", "frame", "y"), "y"),
+    "lag_embed": on_traces(lambda x: S.lag_embed(x, BY, 3)),
+    "snippets": on_traces(_windows),
+    "sta": on_traces(lambda x: _round(S.template(_windows(x), BY), "v")),
+    "weighted_sta": on_traces(lambda x: _round(S.template(_windows(x), BY, 1 / F.col("spike")), "v")),
+    "waveform_spread": on_traces(lambda x: _round(S.waveform_spread(_windows(x), BY), "sd_score", "norm")),
+    "fir_causal": on_traces(lambda x: _round(S.fir(x, BY, [0.5, -0.25, 0.125]).select("channel", "frame", "y"), "y")),
     "autocorr_unbiased": autocorr,
     "histogram_sqrt": amplitude_histogram,
     "stencil_energy": stencil_energy,

@@ -14,7 +14,7 @@ from arrayloom.operators.order import order_by_kde
 from arrayloom.plans.relation_queries import _ACT, _FRAC, _ONCE, _P4, _PEAK, _REG, _S, _SETS, _T, _U, _once, _pairs, _regions, _sets, _templates, _units, block_sizes
 from arrayloom.plans.relation_queries import _components as components_sql
 from arrayloom.plans.relation_queries import SQL as RELATION_SQL
-from arrayloom.plans.trace_queries import _BOX, _GRID, _SNIP, BY, _peaks, _round, _windows, grid_traces, traces
+from arrayloom.plans.trace_queries import _BOX, _GRID, _SNIP, BY, _round, _windows, grid_traces, on_traces
 from arrayloom.session import scratch_path, write_through
 from arrayloom.sources.recording import read_box, recordings, write_traces
 from arrayloom.sources.tables import table
@@ -41,27 +41,29 @@ def redundancy_search(spark, folder):
     return U.keep_best(units.select("unit_id", "separability").join(groups, "unit_id"), "component", "separability").select("unit_id", "component", "keep")
 
 
-def _clustered(spark, folder) -> tuple[DataFrame, DataFrame]:
+def _clustered(x: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Spikes of each channel with a level of amplitude as component, and the length of each level's mean waveform."""
-    windows = write_through(_windows(spark, folder))
-    sigma = S.noise_sigma(traces(spark, folder), BY)
+    windows = write_through(_windows(x))
+    sigma = S.noise_sigma(x, BY)
     spikes = windows.filter("lag = 0").join(sigma, BY).withColumn("component", F.least(F.floor(F.try_divide(-F.col("v"), F.col("sigma"))), F.lit(6)).cast("int"))
     spikes = write_through(spikes.select("channel", "spike", "v", "sigma", "component"))
     score = S.waveform_spread(windows.join(spikes.select("channel", "spike", "component"), ["channel", "spike"]), ["channel", "component"])
     return spikes, score.select("channel", "component", F.col("norm").alias("score"))
 
 
-def winner_quality(spark, folder):
+@on_traces
+def winner_quality(x):
     """The winning level of each channel's spikes by waveform, and how far it stands from the nearest one."""
-    spikes, score = _clustered(spark, folder)
+    spikes, score = _clustered(x)
     noise = spikes.groupBy("channel").agg(F.first("sigma").alias("noise_std"))
     out = N.winners(spikes, BY, "v", noise, score)
     return _round(out, "mean_amp", "amplitude_sd", "rstd", "separability")
 
 
-def trace_snr(spark, folder):
+@on_traces
+def trace_snr(x):
     """Extremum of each channel's spike-triggered average over the noise of its trace."""
-    return _round(S.template_snr(S.template(_windows(spark, folder), BY), S.noise_sigma(traces(spark, folder), BY), BY), "snr")
+    return _round(S.template_snr(S.template(_windows(x), BY), S.noise_sigma(x, BY), BY), "snr")
 
 
 def rethreshold(spark, folder):

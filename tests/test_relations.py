@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -106,3 +107,24 @@ def test_coincidence_fractions(spark):
     assert (r.n, r.frac_a, r.frac_b) == (1, 0.25, 0.25)
     assert U.best_lag(s, p, 0.5, 3).collect()[0].n >= 1
     assert r.n == pytest.approx(1)
+
+
+def test_numbers_within_groups(spark):
+    rng = np.random.default_rng(8)
+    keys = ["a"] * 500 + ["b"] * 3 + [None] * 20 + ["c"] * 90
+    rows = [(k, float(t), i) for i, (k, t) in enumerate(zip(keys, rng.permutation(len(keys))))]
+    want = {}
+    for k in set(keys):
+        for n, r in enumerate(sorted((r for r in rows if r[0] == k), key=lambda r: r[1])):
+            want[r[2]] = n + 1
+    df = spark.createDataFrame(rows, "k string, t double, id long").repartition(5)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"), spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for size, tasks in ((7, 6), (1000, 3)):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            spark.conf.set("spark.sql.shuffle.partitions", tasks)
+            assert {r.id: r.n for r in U.numbered_within(df, ["k"], ["t"], "n").collect()} == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old[0])
+        spark.conf.set("spark.sql.shuffle.partitions", old[1])
+    assert U.numbered_within(df.limit(0), ["k"], ["t"], "n").collect() == []

@@ -88,3 +88,15 @@ def test_energy_and_histogram(spark):
         assert e == pytest.approx((x[r - 1 : r + 2, c - 1 : c + 2, f - 3 : f + 2] ** 2).sum())
     h = S.histogram(trace(spark, [0, 1, 2, 3, 4, 5, 6, 7, 8]), BY, "v").orderBy("bin").collect()
     assert [(r.bin, r.n) for r in h] == [(0, 3), (1, 3), (2, 3)]
+
+
+def test_median_in_passes(spark):
+    """Narrowing down gives the same medians as sorting, whatever the values are."""
+    rng = np.random.default_rng(6)
+    groups = {0: rng.normal(size=3001), 1: rng.normal(size=3000), 2: np.r_[np.zeros(900), np.ones(900)], 3: np.full(2000, 7.5), 4: np.array([1.0, 4.0]), 5: np.r_[rng.normal(size=1500), 1e300, -1e300, np.inf]}
+    groups[6] = np.exp(rng.normal(0, 8, 2500))
+    rows = [(k, float(v)) for k, vs in groups.items() for v in vs] + [(0, None), (0, float("nan"))]
+    df = spark.createDataFrame(rows, "channel int, v double")
+    for most in (50, 10**6):
+        got = {r.channel: r["median"] for r in S.medians(df, BY, F.col("v"), most).collect()}
+        assert got == {k: float(np.median(v)) for k, v in groups.items()}
