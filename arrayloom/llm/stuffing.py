@@ -50,8 +50,7 @@ def page_words(text: Column) -> Column:
     text = F.regexp_replace(text, r"(?:https?://|www\.)\S+", f" {_LINK} ")
     text = F.regexp_replace(text, r"&(?:[a-z]+|#[0-9]+);", " ")
     text = F.regexp_replace(text, _NO_SPACES, " $0 ")
-    text = F.regexp_replace(text, r"(?<![\p{L}\p{N}])\p{N}+(?![\p{L}\p{N}])", " ")
-    return F.regexp_extract_all(F.translate(text, *LOOKALIKES), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    return F.regexp_extract_all(F.translate(text, *LOOKALIKES), F.lit(r"\p{N}*\p{L}[\p{L}\p{N}]*"), F.lit(0))
 
 
 def _words(df: DataFrame, key: str, text: str, lang: str) -> DataFrame:
@@ -79,12 +78,12 @@ def page_curves(df: DataFrame, key: str, text: str = "text", lang: str = "lang")
     words = _words(df, key, text, lang)
     heads = _heads(words)
     tokens = words.repartition("page").select("page", "key", "lang", F.explode("words").alias("word"))
-    counts = tokens.groupBy("page", "word").agg(F.count("*").alias("n"), F.first("key").alias("key"), F.first("lang").alias("lang"))
+    counts = tokens.groupBy("page", "key", "lang", "word").agg(F.count("*").alias("n"))
     marked = counts.join(heads, "word", "left")  # Spark broadcasts the head words if their measured size allows it
     order = Window.partitionBy("page").orderBy(F.desc("n"))
     lines = marked.withColumn("y", F.ln("n")).withColumn("x", F.ln(F.row_number().over(order)))
-    return write_through(lines.groupBy("page").agg(
-        F.first("key").alias("key"), F.first("lang").alias("lang"), F.sum("n").alias("words"), F.count("*").alias("distinct"),
+    return write_through(lines.groupBy("page", "key", "lang").agg(
+        F.sum("n").alias("words"), F.count("*").alias("distinct"),
         F.sum(F.when(F.col("head"), F.col("n")).otherwise(0)).alias("head"),
         F.expr("regr_slope(y, x)").alias("slope"),
         F.expr("sqrt(greatest(0, regr_syy(y, x) - coalesce(regr_sxy(y, x) * regr_slope(y, x), 0)) / count(*))").alias("residual"),
