@@ -5,7 +5,8 @@ by list ranking (pointer jumping towards the smaller neighbour, which ends at a
 a local minimum of the chain, so cycles end too). What remains when a round removes little is the core;
 it is solved by alternating large and small stars. Removed vertices then get their parents' labels,
 in the reverse order of their removal. Degrees and neighbours come from one aggregation with partial
-sums and edges are removed by their own pair of ids, so a hub of very many links loads no single task.
+sums and edges are removed by their own pair of ids, so there a hub of very many links loads no single task;
+joins on the vertex itself (stars, labels) are split at a hub by Spark's skew join.
 """
 
 from __future__ import annotations
