@@ -22,12 +22,15 @@ def spread_join(large: DataFrame, small: DataFrame, by: list[str], salt: Column
     return large.withColumn("_salt", F.pmod(F.xxhash64(salt), F.lit(salts)).cast("int")).join(some, [*by, "_salt"], how).drop("_salt")
 
 
-def band_pairs(left: DataFrame, right: DataFrame, by: list[str], x: str, y: str, width: float) -> DataFrame:
-    """Pairs of rows with equal `by` and |x - y| <= width, x of the left and y of the right table. The right rows
-    stand in three buckets of that width each. Column names of the two tables must differ but for `by`. Null and
-    NaN values have no partner; width must be above 0."""
-    a = left.filter(F.col(x).isNotNull() & ~F.isnan(x)).withColumn("_bucket", F.floor(F.col(x) / width))
-    b = right.filter(F.col(y).isNotNull() & ~F.isnan(y)).withColumn("_bucket", _near(F.floor(F.col(y) / width)))
+def band_pairs(left: DataFrame, right: DataFrame, by: list[str], x: str, y: str, width: float, wide: int = 1) -> DataFrame:
+    """Pairs of rows with equal `by` and |x - y| <= width, x of the left and y of the right table. Buckets are `wide` times
+    the width; the right rows stand in three buckets, or in one or two if those are wider than one. Column names of the
+    two tables must differ but for `by`. Null and NaN values have no partner; width must be above 0."""
+    size = width * wide
+    at = F.floor(F.col(y) / size)
+    reached = _near(at) if wide == 1 else F.explode(F.array_distinct(F.array(F.floor((F.col(y) - width * 1.001) / size), at, F.floor((F.col(y) + width * 1.001) / size))))
+    a = left.filter(F.col(x).isNotNull() & ~F.isnan(x)).withColumn("_bucket", F.floor(F.col(x) / size))
+    b = right.filter(F.col(y).isNotNull() & ~F.isnan(y)).withColumn("_bucket", reached)
     return a.join(b, [*by, "_bucket"]).filter(F.abs(F.col(x) - F.col(y)) <= width).drop("_bucket")
 
 

@@ -96,20 +96,46 @@ def shifted_coincidences(spikes: DataFrame, pairs: DataFrame, bin_ms: float, mos
     return found.join(lags, ["a", "b"]).select("a", "b", "lag", "n", "frac_a", "frac_b")
 
 
+def _blocks(units: DataFrame, row: str, col: str, distance: float) -> DataFrame:
+    """(unit_id, block): units linked by steps of at most `distance`, with the smallest unit of their block. Steps lead
+    from place to place, so units of one place are linked to its first one only."""
+    places = units.select("unit_id", row, col).distinct()
+    known = places.filter(f"{row} - {row} = 0 AND {col} - {col} = 0")  # neither null, NaN nor infinite
+    firsts = known.groupBy(row, col).agg(F.min("unit_id").alias("_first"))
+    own = known.join(firsts, [row, col]).select(F.col("unit_id").alias("a"), F.col("_first").alias("b"))
+    steps = pairs_within(firsts, "_first", row, col, distance).select("a", "b").unionByName(own)
+    return connected_components(steps, "a", "b", places, "unit_id").withColumnRenamed("component", "block")
+
+
+def _often_near(spikes: DataFrame, templates: DataFrame, width: float, least: float, side: int = 4) -> DataFrame:
+    """(a, b), a < b: pairs of units with a sensor in common that may share at least `least` of both their spikes, as so
+    many of their pairs of spikes lie within `width`. Spikes meet in tiles of side * side sensors and buckets of time; units
+    that share several tiles are counted in each, so no pair is lost, and few others are kept."""
+    tiles = templates.select("unit_id", *[F.floor(F.col(f"sensor_{c}") / side).alias(f"_{c}") for c in ("row", "col")]).distinct()
+    sized = spikes.select("unit_id", "time").withColumn("n", F.count("*").over(Window.partitionBy("unit_id")))
+    mine = sized.join(tiles, "unit_id")
+    a, b = (mine.select("_row", "_col", F.col("unit_id").alias(s), F.col("n").alias(f"n{s}"), F.col("time").alias(f"t{s}")) for s in "ab")
+    near = band_pairs(a, b, ["_row", "_col"], "ta", "tb", width, 8).filter("a < b")
+    met = near.groupBy("a", "b").agg(F.count("*").alias("met"), F.first(F.greatest("na", "nb")).alias("n"))
+    return met.filter(F.col("met") / F.col("n") >= least).select("a", "b")
+
+
 def redundancy_groups(units: DataFrame, spikes: DataFrame, templates: DataFrame, row: str, col: str, distance: float, bin_ms: float, most: int, jitter: float, least_coincidence: float, least_similarity: float) -> DataFrame:
     """(unit_id, block, component): units that are the same neuron. Blocks are units linked by steps of at most `distance`;
     inside a block two units are one if both share at least `least_coincidence` of their spikes after the best shift
-    (see shifted_coincidences), and their templates are alike. Only pairs with a spike in common within the largest shift
-    and the jitter are compared; others share none. Runs jobs while it is called."""
-    places = units.select("unit_id", row, col).distinct()
-    blocks = connected_components(pairs_within(places, "unit_id", row, col, distance), "a", "b", places, "unit_id")
-    blocks = write_through(blocks.withColumnRenamed("component", "block"))
+    (see shifted_coincidences), and their templates are alike. Templates without a common sensor aren't, so only pairs are
+    compared that have one, and enough spikes near each other within the largest shift and the jitter (see _often_near);
+    the spikes and templates of other units are left aside. Runs jobs while it is called."""
+    blocks = write_through(_blocks(units, row, col, distance))
     once = spikes.filter("time IS NOT NULL AND NOT isnan(time)").select("spike_id", "unit_id", "time").distinct()
-    mine = once.join(blocks, "unit_id")
-    a, b = (mine.select("block", F.col("unit_id").alias(s), F.col("time").alias(f"t{s}")) for s in "ab")
-    pairs = write_through(band_pairs(a, b, ["block"], "ta", "tb", (most + 1) * bin_ms + jitter).filter("a < b").select("a", "b").distinct())
-    shared = shifted_coincidences(spikes, pairs, bin_ms, most, jitter).filter((F.col("frac_a") >= least_coincidence) & (F.col("frac_b") >= least_coincidence))
-    alike = template_similarity(templates, shared).filter(F.col("cosine") >= least_similarity)
+    known = templates.filter(F.col("v").isNotNull() & ~F.isnan("v"))
+    often = _often_near(once, known, (most + 1) * bin_ms + jitter, least_coincidence)
+    a, b = (blocks.select(F.col("unit_id").alias(s), "block") for s in "ab")
+    pairs = write_through(often.join(a, "a").join(b, ["b", "block"]).select("a", "b"))
+    few = pairs.select(F.explode(F.array("a", "b")).alias("unit_id")).distinct()
+    mine, theirs = (write_through(df.join(few, "unit_id", "left_semi")) for df in (once, known))
+    shared = shifted_coincidences(mine, pairs, bin_ms, most, jitter).filter((F.col("frac_a") >= least_coincidence) & (F.col("frac_b") >= least_coincidence))
+    alike = template_similarity(theirs, shared).filter(F.col("cosine") >= least_similarity)
     return connected_components(alike, "a", "b", blocks, "unit_id").join(blocks, "unit_id").select("unit_id", "block", "component")
 
 

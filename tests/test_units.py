@@ -86,3 +86,27 @@ def test_a_cluster_needs_a_shared_folder(monkeypatch):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         session.shared_folder(Session())
+
+
+def test_redundancy_compares_only_pairs_that_may_be_one(spark, monkeypatch):
+    """Sixty units of one block, each with one spike by chance near those of all others: only the unit that is there twice
+    is compared with its double. A unit without templates or place stays alone."""
+    rows = [(1000 * u + i, u, 500.0 * i + 7.0 * u + (0.3 if u == 2 else 0.0)) for u in range(1, 61) for i in range(1, 9)]
+    rows += [(1000 * u, u, 9e4) for u in range(1, 61)] + [(100_000 + i, 70, 500.0 * i + 14.2) for i in range(1, 9)] + [(200_000, 80, None)]
+    spikes = spark.createDataFrame(rows, "spike_id long, unit_id long, time double")
+    units = spark.createDataFrame([(u, u % 3, 4) for u in (*range(1, 61), 70)] + [(80, None, None)], "unit_id long, r int, c int")
+    shape = [(u, u % 3 + o, 4, lag, -50.0 / (1 + lag * lag + o)) for u in (*range(1, 61), 70) for o in (0, 1) for lag in (-1, 0, 1)]
+    templates = spark.createDataFrame(shape, "unit_id long, sensor_row int, sensor_col int, lag int, v double")
+    compared = []
+    real = U.shifted_coincidences
+    monkeypatch.setattr(U, "shifted_coincidences", lambda s, p, *rest: compared.append((s.count(), p.count())) or real(s, p, *rest))
+    got = {r.unit_id: (r.block, r.component) for r in U.redundancy_groups(units, spikes, templates, "r", "c", 1.5, 0.25, 2, 1.0, 0.5, 0.5).collect()}
+    assert got == {u: (1, 2 if u == 70 else u) for u in (*range(1, 61), 70)} | {80: (80, 80)}
+    assert compared == [(17, 1)]
+
+
+def test_wide_buckets_lose_no_pair(spark):
+    left = spark.createDataFrame([(i, i * 0.7) for i in range(-20, 60)], "i int, x double")
+    right = spark.createDataFrame([(j, j * 0.5 - 3.0) for j in range(80)], "j int, y double")
+    got = sorted((r.i, r.j) for r in J.band_pairs(left.withColumn("g", F.lit(1)), right.withColumn("g", F.lit(1)), ["g"], "x", "y", 0.75, 4).collect())
+    assert got == [(i, j) for i in range(-20, 60) for j in range(80) if abs(i * 0.7 - (j * 0.5 - 3.0)) <= 0.75]
