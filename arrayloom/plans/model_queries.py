@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from arrayloom.functions import signal as S
@@ -48,11 +48,51 @@ def _train_frames(spark: SparkSession, folder: str, width: float = 20.0) -> Data
     return every.join(mine, ["roi_id", "frame"], "left").select("roi_id", "frame", x.alias("x"))
 
 
+#: Frames of a region's trains that one task orders.
+_STRETCH = 1024
+
+
+def _train_runs(spark: SparkSession, folder: str, width: float = 20.0) -> DataFrame:
+    """(roi_id, frame, x, zeros), written: the trains of each region's units as frames: spikes of every unit in bins of
+    `width` ms. Trains are sparse, so a row stands for its frame and the `zeros` frames without a spike that follow it; all
+    regions have the same frames. Regions of one unit have nothing to separate."""
+    spikes = table(spark, folder, "unit_spikes").filter("time IS NOT NULL AND NOT isnan(time)").select("spike_id", "unit_id", F.floor(F.col("time") / width).alias("frame"))
+    seen = spikes.groupBy("unit_id").agg(F.min("frame").alias("a"), F.max("frame").alias("b"))
+    seen = write_through(seen.join(_units(spark, folder).select("unit_id", "roi_id"), "unit_id"))
+    ends = seen.agg(F.min("a").alias("a"), F.max("b").alias("b"))  # one row
+    mine = Window.partitionBy("roi_id")  # units of a region
+    places = seen.select("unit_id", "roi_id", (F.row_number().over(mine.orderBy("unit_id")) - 1).alias("at"), F.count("*").over(mine).cast("int").alias("p")).filter("p > 1 AND roi_id IS NOT NULL")
+    rows = spikes.join(places, "unit_id").select("roi_id", "p", "frame", "at", "spike_id")
+    stretches = F.explode(F.sequence(F.floor(F.col("a") / _STRETCH), F.floor(F.col("b") / _STRETCH))).alias("stretch")
+    starts = places.select("roi_id", "p").distinct().join(F.broadcast(ends)).select("roi_id", "p", "a", stretches)
+    starts = starts.select("roi_id", "p", F.greatest("a", F.col("stretch") * _STRETCH).alias("frame"), F.lit(None).cast("int").alias("at"), F.lit(None).cast(spikes.schema["spike_id"].dataType).alias("spike_id"))
+    by = ["roi_id", "stretch"]
+    once = rows.unionByName(starts).withColumn("stretch", F.floor(F.col("frame") / _STRETCH)).repartition(*by).distinct()
+    counts = once.groupBy(*by, "frame", "p", "at").agg(F.count("*").cast("double").alias("n"))
+    frames = counts.groupBy(*by, "frame", "p").agg(F.map_from_entries(F.collect_list(F.when(F.col("at").isNotNull(), F.struct("at", "n")))).alias("m"))
+    x = F.transform(F.sequence(F.lit(0), F.col("p") - 1), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
+    following = F.coalesce(F.lead("frame").over(Window.partitionBy(*by).orderBy("frame")), (F.col("stretch") + 1) * _STRETCH)
+    runs = frames.select("roi_id", "frame", x.alias("x"), following.alias("next")).join(F.broadcast(ends))
+    return write_through(runs.select("roi_id", "frame", "x", (F.least("next", F.col("b") + 1) - F.col("frame") - 1).alias("zeros")))
+
+
+def _source_model(runs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(frames, model): the distinct frames of the trains with the number `n` of their like, and the model of two sources."""
+    quiet = runs.groupBy("roi_id").agg(F.sum("zeros").alias("n"), F.first(F.size("x")).alias("p"))
+    frames = runs.select("roi_id", "x", F.lit(1).cast("bigint").alias("n")).unionByName(quiet.select("roi_id", F.array_repeat(F.lit(0.0), F.col("p")).alias("x"), "n"))
+    return frames, D.ica_model(frames, ["roi_id"], 2, weight="n")
+
+
 def independent_sources(spark, folder):
     """Two independent sources of the trains of each region, where the separation has settled."""
-    sources, model = D.fast_ica(_train_frames(spark, folder), ["roi_id"], 2)
-    settled = model.filter("converged").select("roi_id")
-    return sources.join(settled, "roi_id", "left_semi").select("roi_id", "frame", F.posexplode("x").alias("component", "v"))
+    runs = _train_runs(spark, folder)
+    _, model = _source_model(runs)
+    quiet = F.transform("m", lambda row: F.aggregate(F.zip_with(row, "mean", lambda a, b: a * b), F.lit(0.0), lambda a, b: a - b))  # of a frame without spikes
+    settled = model.filter("converged").select("roi_id", "m", "mean", quiet.alias("quiet"))
+    made = D.project(runs, settled, ["roi_id"], "frame", "zeros", "quiet")
+    every = made.select("roi_id", "frame", "x", "quiet", F.explode(F.sequence(F.lit(0).cast("bigint"), "zeros")).alias("k"))
+    v = F.when(F.col("k") == 0, F.col("x")).otherwise(F.col("quiet"))
+    return every.select("roi_id", (F.col("frame") + F.col("k")).alias("frame"), F.posexplode(v).alias("component", "v"))
 
 
 def source_covariance(spark, folder):

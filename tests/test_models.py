@@ -109,3 +109,24 @@ def test_roles_and_isolation(spark):
     assert w[3].separability == 2.5 and w[3].amplitude_sd == 0 and w[4].separability == 12.5
     iso = {r.u: (r.iso_nn, r.iso_bg) for r in N.winner_isolation(df, ["u"], "x").collect()}
     assert iso[3] == (nan, nan) and iso[1][0] > 0 and iso[4][0] == iso[4][1]
+
+
+def test_moments_take_the_turns_of_passes(spark, monkeypatch):
+    """The rounds end where a pass over all frames each would take them, in few jobs, and equal frames may be one row."""
+    rng = np.random.default_rng(6)
+    kinds = {f"g{k}": np.floor(np.abs(rng.laplace(size=(400, 3)) @ rng.normal(size=(3, 3)))) for k in range(4)}
+    df = frames(spark, **kinds)
+    tracker = spark.sparkContext.statusTracker()
+    def model(group, **options):
+        spark.sparkContext.setJobGroup(group, group)
+        out = {r.g: r for r in D.ica_model(options.pop("df", df), ["g"], 3, **options).collect()}
+        return out, len(tracker.getJobIdsForGroup(group))
+    few, jobs = model("moments")
+    weighted, _ = model("weighted", df=df.groupBy("g", "x").agg(F.count("*").alias("n")), weight="n")
+    monkeypatch.setattr(D, "MOMENTS", 0)
+    many, more = model("passes")
+    assert few.keys() == many.keys() == kinds.keys() and jobs < 15 and jobs < more
+    for g in kinds:
+        for other in (many[g], weighted[g]):
+            assert few[g].converged == other.converged and np.allclose(few[g].change, other.change, atol=1e-7)
+            assert np.allclose(few[g].w, other.w, atol=1e-6) and np.allclose(few[g].m, other.m, atol=1e-6) and np.allclose(few[g].mean, other.mean)
