@@ -34,20 +34,6 @@ def principal_variance(spark, folder):
     return D.principal_axes(_frames(spark, folder), ["label"]).select("label", "i", F.round("variance", 6).alias("variance"))
 
 
-def _train_frames(spark: SparkSession, folder: str, width: float = 20.0) -> DataFrame:
-    """The trains of each region's units as frames: spikes of every unit in bins of `width` ms, 0 where there are none.
-    Regions of one unit have nothing to separate."""
-    spikes = table(spark, folder, "unit_spikes").filter("time IS NOT NULL AND NOT isnan(time)").select("spike_id", "unit_id", F.floor(F.col("time") / width).alias("frame")).distinct()
-    counts = spikes.groupBy("unit_id", "frame").agg(F.count("*").alias("n")).join(_units(spark, folder).select("unit_id", "roi_id"), "unit_id")
-    counts = write_through(counts)
-    units = counts.groupBy("roi_id").agg(F.array_sort(F.collect_set("unit_id")).alias("units")).filter(F.size("units") > 1)  # units of a region
-    ends = counts.agg(F.min("frame").alias("a"), F.max("frame").alias("b"))  # one row
-    every = units.join(F.broadcast(ends)).select("roi_id", "units", F.explode(F.sequence("a", "b")).alias("frame"))
-    mine = counts.groupBy("roi_id", "frame").agg(F.map_from_entries(F.collect_list(F.struct("unit_id", F.col("n").cast("double")))).alias("m"))
-    x = F.transform("units", lambda u: F.coalesce(F.try_element_at("m", u), F.lit(0.0)))
-    return every.join(mine, ["roi_id", "frame"], "left").select("roi_id", "frame", x.alias("x"))
-
-
 #: Frames of a region's trains that one task orders.
 _STRETCH = 1024
 
@@ -97,8 +83,9 @@ def independent_sources(spark, folder):
 
 def source_covariance(spark, folder):
     """Covariances of those sources, settled or not: one with itself, none with another."""
-    sources, _ = D.fast_ica(_train_frames(spark, folder), ["roi_id"], 2)
-    return D.covariances(sources, ["roi_id"]).select("roi_id", "i", "j", (F.round("c", 6) + 0.0).alias("c"))
+    frames, model = _source_model(_train_runs(spark, folder))
+    sources = D.project(frames, model, ["roi_id"], "n")
+    return D.covariances(sources, ["roi_id"], "n").select("roi_id", "i", "j", (F.round("c", 6) + 0.0).alias("c"))
 
 
 def embedded_axes(spark, folder):
